@@ -61,14 +61,18 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 class Bounded(dict):
-    """A memo of at most `most` entries, emptied when full; `make` fills what is missing."""
+    """A memo of at most `most` entries in two generations: what was not asked for during a whole one is forgotten."""
 
     def __init__(self, make, most: int = 300_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most // 2, {}
 
     def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
