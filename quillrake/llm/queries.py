@@ -8,10 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrake.llm import bpe, embeddings, packing, simhash, substring
+from quillrake.llm import bpe, embeddings, licenses, packing, quality, sharding, simhash, substring, urls, warc
 from quillrake.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = warc.write_bundles(table(spark, sf_dir, "pages"), least_payload=0)
+    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), stratum="lang")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", F.round("dice", 9).alias("dice"), F.size("matches").cast("long").alias("n_matches"), F.get("matches", F.lit(0))["start"].alias("first_start"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=64)
+
+
+#: Hosts and paths that are known to be wanted or not; they are also the labels that the trees learn from.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_words(table(spark, sf_dir, "documents"), window=50)
 
@@ -33,6 +59,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_substring_dedup, op7_embedding_near_dedup, op8_packing, op9_byte_bpe, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_license_scan, op4_sharding, op5_url_filter, op6_substring_dedup, op7_embedding_near_dedup, op8_packing, op9_byte_bpe, op10_simhash_near_dedup)}
 
 ORACLE: dict[str, str] = {}
