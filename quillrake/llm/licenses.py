@@ -66,7 +66,7 @@ class Scanner:
         chosen: set[str] = set()
         common = Counter(w for _, _, g in self.templates for w in {x for pair in g for x in pair})
         for size, _, grams in self.templates:
-            spare = size - size * self.threshold / (2 - self.threshold)
+            spare = size - size * self.threshold / (2 - self.threshold) + 1e-9
             while sum(n for g, n in grams.items() if chosen & set(g)) <= spare:
                 left = [w for g in grams if not chosen & set(g) for w in g]
                 chosen.add(max(sorted(set(left)), key=lambda w: (min(len(w), 7), common[w], left.count(w))))
@@ -95,7 +95,7 @@ class Scanner:
             words, hot = 0, False
             for _, end, n, here in spans[i:]:
                 words, hot = words + n, hot or here
-                if words - 1 > self.most:
+                if words - 1 > self.most + 1e-9:
                     break  # more bigrams than any template allows, as would all longer runs
                 if hot:
                     out += [(name, score, start, end) for name, score in self.match(text[start:end])]

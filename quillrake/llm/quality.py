@@ -100,6 +100,15 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang", id_col:
     return best.select(F.col("stratum").alias(stratum), "x.*")
 
 
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum: str, keep: tuple[str, ...], **risk) -> DataFrame:
+    ready = docs.withColumn("__stratum", F.col(stratum).cast("string"))
+    scored = staged(features(ready, id_col, text_col, keep=("__stratum", *keep)), "quality").withColumn("base_failed", base_failed())
+    found = staged(cutoffs(scored.where("not base_failed"), labels, "__stratum", id_col, **risk).select("__stratum", "cutoff"), "cutoffs")
+    if len(found.limit(BROADCAST + 1).collect()) <= BROADCAST:
+        found = F.broadcast(found)
+    return scored.join(found, "__stratum", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") < F.col("cutoff"), F.lit(True)))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", **risk) -> DataFrame:
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, cutoff.
 
@@ -107,10 +116,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     cutoff and empty label tables have a null cutoff: there only the base rules reject. Null and empty texts fail the
     base rules. Repeated rows are judged alike; an empty table gives an empty one; other columns are not read.
     """
-    scored = staged(features(docs.withColumn("__stratum", F.col(stratum).cast("string")) if stratum else docs.withColumn("__stratum", F.lit("all")), id_col, text_col, keep=("__stratum",)), "quality").withColumn("base_failed", base_failed())
-    found = staged(cutoffs(scored.where("not base_failed"), labels, "__stratum", id_col, **risk).select("__stratum", "cutoff"), "cutoffs")
-    if len(found.limit(BROADCAST + 1).collect()) <= BROADCAST:
-        found = F.broadcast(found)
-    told = scored.join(found, "__stratum", "left")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("score") < F.col("cutoff"), F.lit(True))
-    return told.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score", "cutoff")
+    told = _judged(docs.select(id_col, text_col, stratum), labels, id_col, text_col, stratum, (), **risk)
+    return told.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "cutoff")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", **risk) -> DataFrame:
+    """The rows of docs that judge keeps, with all columns of docs. They travel with their features, so no join moves texts."""
+    row = docs.select(id_col, text_col, stratum, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    return _judged(row, labels, id_col, text_col, stratum, ("__row",), **risk).where("kept").select("__row.*")
