@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from quillrake.llm import bpe, embeddings, licenses, packing, quality, sharding, simhash, substring, urls, warc
 from quillrake.llm.common import table
+from quillrake.llm.oracle import ORACLE
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.write_bundles(table(spark, sf_dir, "pages"), least_payload=0)
-    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset")
+    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_license_scan, op4_sharding, op5_url_filter, op6_substring_dedup, op7_embedding_near_dedup, op8_packing, op9_byte_bpe, op10_simhash_near_dedup)}
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
