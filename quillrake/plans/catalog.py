@@ -16,7 +16,7 @@ from quillrake.functions import language as lang
 from quillrake.functions import normalize as norm
 from quillrake.functions import text as tx
 from quillrake.operators import checks, chunks, context, embed, formats, graph, markup, plain_text, search, stats, structure
-from quillrake.sources import store
+from quillrake.sources import files, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -567,3 +567,58 @@ def validation_report(spark, sf_dir):
     made = docs(spark, sf_dir).select("doc_id", F.when(i % 4 == 0, "paragraph").otherwise("heading").alias("block_type"), (i % 9).cast("int").alias("heading_level"), (i % 10).cast("int").alias("page_number"), (i % 6 - 1).cast("int").alias("source_offset"))
     made = made.withColumn("heading_level", F.when(F.col("heading_level") == 0, 1).otherwise(F.col("heading_level")))
     return checks.blocks(made).select(F.explode("violations").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id AS chunk_id, label AS document_id FROM embeddings WHERE vec_id IN (1, 5, 9, 400)")
+def vector_get_many(spark, sf_dir):
+    return _vectors(spark, sf_dir).where(F.col("chunk_id").isin([1, 5, 9, 400])).select("chunk_id", "document_id")
+
+
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS document_id FROM embeddings")
+def vector_update(spark, sf_dir):
+    old = _vectors(spark, sf_dir).select("chunk_id", "document_id")
+    return store.updated(old, old.where("chunk_id % 4 = 0").withColumn("document_id", F.lit(-1)), "chunk_id", "document_id")
+
+
+@query("SELECT label AS document_id, count(*) AS n FROM embeddings WHERE label <> 2 GROUP BY 1")
+def vector_delete_document(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    left = store.deleted(v, v.where("document_id = 2").select("document_id"), "document_id")
+    return left.groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {EXT_SQL} AS ext, count(*) AS n_files, sum(octet_length(encode(html)))::BIGINT AS total_bytes, round(avg(octet_length(encode(html)) / 1024.0), 3) AS average_kb FROM pages GROUP BY 1")
+def storage_stats(spark, sf_dir):
+    named = F.concat(F.lit("/in/f."), F.element_at(F.array(*map(F.lit, ("pdf", "docx", "html", "htm", "md", "markdown", "txt", "xyz"))), (F.col("page_id") % 8 + 1).cast("int")))
+    return files.storage_stats(table(spark, sf_dir, "pages").select(named.alias("file_path"), F.octet_length("html").cast("long").alias("size_bytes")))
+
+
+@query(f"WITH {PAIRS_SQL}, b AS (SELECT target_chunk_id AS source_chunk_id, source_chunk_id AS target_chunk_id FROM edges) SELECT * FROM b")
+def reversed_edges(spark, sf_dir):
+    return graph.reverse(_edges(spark, sf_dir).withColumn("edge_type", F.lit("semantic"))).select("source_chunk_id", "target_chunk_id")
+
+
+@query(
+    f"""WITH {TURNS_SQL}, w AS (SELECT *, lead(chunk_id) OVER w AS n, lag(chunk_id) OVER w AS p FROM turns WINDOW w AS (PARTITION BY document_id ORDER BY chunk_idx)),
+e AS (SELECT 'sibling_next' AS edge_type, n FROM w WHERE n IS NOT NULL UNION ALL SELECT 'sibling_prev', p FROM w WHERE p IS NOT NULL) SELECT edge_type, count(*) AS n FROM e GROUP BY 1"""
+)
+def structural_edges(spark, sf_dir):
+    linked = chunks.link_siblings(_turns(spark, sf_dir)).withColumn("parent_id", F.lit(None).cast("long"))
+    return graph.structural_edges(linked).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TURNS_SQL}, f AS (SELECT document_id, role AS path, text, chunk_idx, {TOKEN_SQL}::INT AS token_count, row_number() OVER (PARTITION BY document_id, role ORDER BY chunk_idx) AS r FROM turns) SELECT document_id, path, path AS title, 1 AS depth, token_count FROM f WHERE r = 1")
+def section_outline(spark, sf_dir):
+    turns = _turns(spark, sf_dir).select("document_id", F.col("chunk_idx").alias("parent_idx"), F.array("role").alias("section_path"), tx.token_count(F.col("text")).alias("token_count"), F.lit("en").alias("language"))
+    return context.outline(turns).select("document_id", "path", "title", "depth", "token_count")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (doc_id % 10 <> 0) AS embedded, count(*) FILTER (doc_id % 10 = 0) AS skipped, ceil(count(*) FILTER (doc_id % 10 <> 0) / 32)::BIGINT AS batches FROM documents")
+def embedding_stats(spark, sf_dir):
+    return embed.embedding_stats(docs(spark, sf_dir).select(F.when(F.col("doc_id") % 10 != 0, F.array(F.lit(1.0))).alias("embedding")))
+
+
+@query()
+def long_sentence_split(spark, sf_dir):
+    whole = docs(spark, sf_dir).withColumn("language", F.lit("en"))
+    return whole.select("doc_id", F.explode(chunks.packer(Settings(target_tokens=24, min_tokens=5, overlap_tokens=8))("text", "language")).alias("c")).select("doc_id", "c.*")

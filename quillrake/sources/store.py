@@ -41,7 +41,15 @@ def edges_without(edges: DataFrame, chunks: DataFrame, documents: DataFrame) ->
     return left.select(*edges.columns)
 
 
+def updated(old: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """old with the column replaced where changes (key, column) has a value that is not null."""
+    new = changes.select(key, F.col(column).alias("__new"))
+    return old.join(new, key, "left").select(*[F.coalesce("__new", column).alias(c) if c == column else F.col(c) for c in old.columns])
+
+
 class Store:
+    tables, keys = TABLES, KEYS
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -58,12 +66,12 @@ class Store:
     def read(self, table: str) -> DataFrame:
         """The table's current version; an empty one if nothing was written yet."""
         version = self._version(table)
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{version}") if version else self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(self.tables[table]).parquet(f"{self.path}/{table}/{version}") if version else self.spark.createDataFrame([], self.tables[table])
 
     def write(self, table: str, df: DataFrame) -> None:
         """Replaces the table: a new version clustered by document, then the pointer, then the old version goes."""
         old, version = self._version(table), f"v-{uuid.uuid4().hex}"
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], TABLES[table]).schema]).sortWithinPartitions("document_id").write.parquet(f"{self.path}/{table}/{version}")
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], self.tables[table]).schema]).sortWithinPartitions("document_id").write.parquet(f"{self.path}/{table}/{version}")
         self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.text(f"{self.path}/{table}/next-{version}")
         fs, current = self._fs(f"{self.path}/{table}/current")
         _, fresh = self._fs(f"{self.path}/{table}/next-{version}")
@@ -73,7 +81,7 @@ class Store:
             fs.delete(self._fs(f"{self.path}/{table}/{old}")[1], True)
 
     def upsert(self, table: str, df: DataFrame) -> None:
-        self.write(table, upserted(self.read(table), df, KEYS[table]))
+        self.write(table, upserted(self.read(table), df, self.keys[table]))
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
         for name in ("edges", "vectors", "children", "parents", "documents"):  # a document is there once the rest is
@@ -86,14 +94,14 @@ class Store:
         return self.read(table).where(reduce(lambda a, b: a & b, conditions, F.lit(True)))
 
     def exists(self, table: str, key: str) -> bool:
-        return bool(self.load(table, **{KEYS[table]: key}).limit(1).count())
+        return bool(self.load(table, **{self.keys[table]: key}).limit(1).count())
 
     def delete_documents(self, ids: list[str]) -> dict[str, int]:
         """Removes documents and all that is theirs; rows removed from each table."""
         gone = self.spark.createDataFrame([(i,) for i in ids], "document_id string")
         chunks = self.read("children").join(gone, "document_id", "left_semi").select("chunk_id")
         removed = {}
-        for name in TABLES:
+        for name in self.tables:
             old = self.read(name)
             new = edges_without(old, chunks, gone) if name == "edges" else old.join(gone, "document_id", "left_anti").select(*old.columns)
             new = new.persist()
@@ -107,14 +115,41 @@ class Store:
         kept.unpersist()
         return removed
 
+    def delete(self, table: str, ids: list) -> int:
+        """Removes rows by key; how many there were."""
+        old = self.read(table)
+        gone = self.spark.createDataFrame([(i,) for i in ids], f"{self.keys[table]} string")
+        found = old.join(gone, self.keys[table], "left_semi").count()
+        if found:
+            self.write(table, deleted(old, gone, self.keys[table]))
+        return found
+
+    def update_embeddings(self, changes: DataFrame) -> None:
+        """New vectors for chunks: (chunk_id, embedding)."""
+        self.write("vectors", updated(self.read("vectors"), changes, "chunk_id", "embedding"))
+
+    def update_metadata(self, changes: DataFrame) -> None:
+        """Entries added to documents' metadata, the new value for a key that exists: (document_id, metadata)."""
+        old = self.read("documents")
+        new = changes.select("document_id", F.col("metadata").alias("__new"))
+        merged = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: ~F.coalesce(F.map_contains_key("__new", k), F.lit(False))), F.coalesce("__new", F.create_map().cast("map<string,string>")))
+        self.write("documents", old.join(new, "document_id", "left").select(*[merged.alias(c) if c == "metadata" else F.col(c) for c in old.columns]))
+
+    def count_by_document(self, table: str) -> DataFrame:
+        return self.read(table).groupBy("document_id").agg(F.count("*").alias("n"))
+
+    def metadata(self, table: str) -> dict:
+        """Where a table is, how many rows it has and which version is current."""
+        return {"path": f"{self.path}/{table}", "rows": self.read(table).count(), "version": self._version(table)}
+
     def clear(self, confirm: bool = False) -> None:
         if not confirm:
             raise ValueError("clear() needs confirm=True")
-        for name in TABLES:
-            self.write(name, self.spark.createDataFrame([], TABLES[name]))
+        for name in self.tables:
+            self.write(name, self.spark.createDataFrame([], self.tables[name]))
 
     def export_json(self, table: str, path: str) -> None:
         self.read(table).write.mode("overwrite").json(path)
 
     def import_json(self, table: str, path: str) -> None:
-        self.upsert(table, self.spark.read.schema(TABLES[table]).json(path))
+        self.upsert(table, self.spark.read.schema(self.tables[table]).json(path))
