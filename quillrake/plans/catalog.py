@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillrake import shipping
 from quillrake.config import Settings
 from quillrake.functions import language as lang
 from quillrake.functions import normalize as norm
@@ -33,6 +34,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipping.ensure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

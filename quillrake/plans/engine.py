@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillrake import shipping
 from quillrake.config import Settings
 from quillrake.functions import language, normalize
 from quillrake.functions.normalize import strip
@@ -38,6 +39,7 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), embedder: embed.Embedder | None = None, chain: normalize.Chain = normalize.DEFAULT):
         if problems := settings.problems():
             raise ValueError("; ".join(problems))
+        shipping.ensure(spark)
         self.spark, self.settings, self.chain = spark, settings, chain
         self.embedder = embedder or embed.HashedWords(settings.embedding_dimension)
         self.store = Store(spark, path)
