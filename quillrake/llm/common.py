@@ -11,11 +11,14 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillrake import shipping
+
 #: A word: bytes.split() cuts at exactly space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipping.ensure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,9 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = os.path.join(tempfile.gettempdir(), "quillrake-shared")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    return f"file://{os.path.join(tempfile.gettempdir(), 'quillrake-shared')}"
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -61,7 +62,10 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 class Bounded(dict):
-    """A memo of at most `most` entries in two generations: what was not asked for during a whole one is forgotten."""
+    """A memo of at most `most` entries in two generations: what was not asked for during a whole one is forgotten.
+
+    Keys are strings or bytes; those of over 128 are made anew each time, so the memo's memory is bounded.
+    """
 
     def __init__(self, make, most: int = 300_000):
         super().__init__()
@@ -71,6 +75,8 @@ class Bounded(dict):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
+        if len(key) > 128:
+            return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
