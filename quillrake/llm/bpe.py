@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -78,40 +79,156 @@ def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+class PairTable:
+    """Ranks of pairs of tokens by open addressing in flat arrays, so that many pairs are looked up at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bits = max(8, (4 * len(ranks)).bit_length() + 2)
+        found = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = rank
+        keys, values = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        while len(keys) * 2 > 1 << self.bits:
+            self.bits += 1
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of those that want one slot the last stays
+            mine = free & (self.keys[slot] == keys)
+            self.values[slot[mine]] = values[mine]
+            keys, values, slot = keys[~mine], values[~mine], slot[~mine] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a << 32 | b
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], _NONE)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+            held = self.keys[slot[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
+
+
+def merge_many(parts: list[bytes], ranks: dict[bytes, int], pairs: PairTable) -> list[tuple[int, ...]]:
+    """merge for each part: one segment tree a part, all trees of a width in one array, merged in step."""
+    out: list[tuple[int, ...]] = [()] * len(parts)
+    widths: dict[int, list[int]] = {}
+    for i, part in enumerate(parts):
+        if part in ranks:
+            out[i] = (ranks[part],)
+        else:
+            widths.setdefault(max(4, 1 << (len(part) - 1).bit_length()), []).append(i)
+    single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+    for width, mine in widths.items():
+        if width > 64 or len(mine) < 16:
+            for i in mine:
+                out[i] = tuple(merge(parts[i], ranks))
+            continue
+        n = np.fromiter((len(parts[i]) for i in mine), np.int64, len(mine))
+        raw = np.frombuffer(b"".join(parts[i].ljust(width, b"\0") for i in mine), np.uint8).reshape(len(mine), width)
+        token = np.zeros((len(mine), width + 1), np.int64)
+        token[:, :width] = single[raw]
+        after = np.tile(np.arange(1, width + 2), (len(mine), 1))
+        before = np.tile(np.arange(-1, width), (len(mine), 1))
+        tree = np.full((len(mine), 2 * width), _NONE, np.int64)
+        leaves = pairs.get(token[:, : width - 1].ravel(), token[:, 1:width].ravel()).reshape(len(mine), width - 1)
+        tree[:, width : 2 * width - 1] = np.where(np.arange(1, width) < n[:, None], leaves, _NONE)
+        for level in range(width.bit_length() - 2, -1, -1):
+            at = 1 << level
+            tree[:, at : 2 * at] = np.minimum(tree[:, 2 * at : 4 * at : 2], tree[:, 2 * at + 1 : 4 * at : 2])
+
+        def put(row: np.ndarray, place: np.ndarray, value: np.ndarray | int) -> None:
+            place = place + width
+            tree[row, place] = value
+            while place[0] > 1:
+                place = place >> 1
+                tree[row, place] = np.minimum(tree[row, 2 * place], tree[row, 2 * place + 1])
+
+        row = np.flatnonzero(tree[:, 1] != _NONE)
+        while len(row):
+            least, i = tree[row, 1], np.ones(len(row), np.int64)
+            for _ in range(width.bit_length() - 1):
+                i = 2 * i + (tree[row, 2 * i] != least)
+            i -= width
+            gone = after[row, i]
+            then = after[row, gone]
+            after[row, i], token[row, i] = then, least
+            more = then < n[row]
+            before[row[more], then[more]] = i[more]
+            put(row, gone, _NONE)
+            value = np.full(len(row), _NONE, np.int64)
+            value[more] = pairs.get(least[more], token[row[more], then[more]])
+            put(row, i, value)
+            j = before[row, i]
+            has = j >= 0
+            if has.any():
+                r, j = row[has], j[has]
+                put(r, j, pairs.get(token[r, j], least[has]))
+            row = row[tree[row, 1] != _NONE]
+        live = np.zeros((len(mine), width + 2), bool)
+        at, rows = np.zeros(len(mine), np.int64), np.arange(len(mine))
+        while len(rows):
+            live[rows, at] = True
+            at = after[rows, at]
+            more = at < n[rows]
+            rows, at = rows[more], at[more]
+        ids, ends = token[live[:, : width + 1]].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+        first = 0
+        for i, last in zip(mine, ends, strict=True):
+            out[i], first = tuple(ids[first:last]), last
+    return out
+
+
 class Codec:
     """Encodes and decodes on an executor; built once a worker from the shipped rank file.
 
     No match holds a white space after something else, so a text may be cut before each space that stands between two
     other characters. Most texts are such words; their memo holds the ids of a space and the word. Texts with other
-    white space beside a space are split by the pattern as a whole. The tiers only save time: ids are those of merge.
+    white space beside a space are split by the pattern as a whole. What a group of texts has that is in no memo is
+    merged together. The tiers only save time: ids are those of merge.
     """
 
     def __init__(self, blob: bytes, pattern: str):
         self.ranks = read_ranks(blob.splitlines())
+        self.pairs = PairTable(self.ranks)
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.decimal = {v: str(v) for v in self.tokens}
         self.split = regex.compile(pattern).findall
-        self.matches = Bounded(lambda m: tuple(merge(m.encode(), self.ranks)), 300_000)
-        self.words = Bounded(self._word, 300_000)
+        self.matches = Bounded(lambda m: tuple(merge(m.encode(), self.ranks)), 500_000)
+        self.words = Bounded(self._word, 1_000_000)
 
-    def _matches(self, text: str) -> tuple[int, ...]:
-        memo, ids = self.matches, []
-        for m in self.split(text):
-            ids.extend(memo[m] if len(m) <= 64 else merge(m.encode(), self.ranks))
-        return tuple(ids)
+    def _merged(self, matches: list[str]) -> tuple[int, ...]:
+        memo = self.matches
+        return tuple(chain.from_iterable([memo[m] if len(m) <= 64 else merge(m.encode(), self.ranks) for m in matches]))
 
     def _word(self, word: str) -> tuple[int, ...] | bool:
         """The ids of the word after a space; False for what must not be cut off."""
-        return self._matches(" " + word) if 0 < len(word) <= 256 and not word[0].isspace() and not word[-1].isspace() else False
-
-    def encode(self, text: str) -> list[int]:
-        first, *words = text.split(" ")
-        if not words or not first or first[-1].isspace():
-            return list(self._matches(text))
-        parts = [self.words[w] for w in words]
-        if False in parts:
-            return list(self._matches(text))
-        return [*self._matches(first), *chain.from_iterable(parts)]
+        if 0 < len(word) <= 256 and not word[0].isspace() and not word[-1].isspace():
+            return self._merged(self.split(" " + word))
+        return False
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        cut = [t.split(" ") for t in texts]
+        known, older = self.words, self.words.old
+        splits = {w: self.split(" " + w) for w in set().union(*cut) if w not in known and w not in older and 0 < len(w) <= 256 and not w[0].isspace() and not w[-1].isspace()}
+        new = [m for m in set().union(*splits.values()) if m not in self.matches and m not in self.matches.old and len(m) <= 64]
+        fresh = dict(zip(new, merge_many([m.encode() for m in new], self.ranks, self.pairs), strict=True))
+        self.matches.make = lambda m: fresh.get(m) or tuple(merge(m.encode(), self.ranks))
+        known.make = lambda w: self._merged(splits[w]) if w in splits else self._word(w)
+        for text, (first, *words) in zip(texts, cut, strict=True):
+            parts = [known[w] for w in words] if words and first and not first[-1].isspace() else [False]
+            yield list(self._merged(self.split(text))) if False in parts else [*self._merged(self.split(first)), *chain.from_iterable(parts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -133,7 +250,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Rows keep their id, null or repeated; other columns are not read; an empty table gives an empty one. The rank file
     is read on the driver and broadcast: its size is fixed by the vocabulary.
     """
-    return _each(docs, ranks_path, pattern, id_col, text_col, "ids array<int>", lambda codec, texts: [pa.array([codec.encode(t.decode()) for t in texts], pa.list_(pa.int32()))])
+    return _each(docs, ranks_path, pattern, id_col, text_col, "ids array<int>", lambda codec, texts: [pa.array(list(codec.encode_all([t.decode() for t in texts])), pa.list_(pa.int32()))])
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -157,8 +274,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
 
     def run(codec: Codec, texts: list[bytes]) -> list[pa.Array]:
         n, ids_sha, text_sha = [], [], []
-        for t in texts:
-            ids = codec.encode(t.decode())
+        for ids in codec.encode_all([t.decode() for t in texts]):
             n.append(len(ids))
             ids_sha.append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
             text_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
