@@ -68,7 +68,8 @@ class _Batch:
         order = np.argsort(docs[id_col].to_numpy(zero_copy_only=False), kind="stable")
         self.ids = docs[id_col].to_numpy(zero_copy_only=False)[order]
         texts = utf8(docs[text_col].combine_chunks() if docs.num_rows else pa.array([], pa.string()))
-        self.words = [texts[i].split() for i in order]
+        self.texts = [texts[i] for i in order]
+        self.words = [t.split() for t in self.texts]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes)])
         self.hashes = np.fromiter((_word_hash[w] for ws in self.words for w in ws), np.uint64, int(self.starts[-1]))
@@ -130,7 +131,7 @@ class _Steps:
         order = np.argsort(h, kind="stable")  # places, and so ids, ascend already
         h, ids = h[order], batch.ids[batch.doc(at)][order]
         unique, first = np.unique(h, return_index=True)
-        last = np.concatenate([first[1:], [len(h)]]).astype(np.int64) - 1
+        last = np.append(first, len(h))[1:] - 1
         many = (ids[first] != ids[last]).astype(np.uint64)
         return pa.Table.from_batches(list(_to_buckets(key[0].as_py(), unique, [unique | many], self.buckets)))
 
@@ -204,19 +205,23 @@ class _Steps:
         return pa.table({self.id_col: pa.array(batch.ids, pa.int64()), "n_words": pa.array(batch.sizes, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string())})
 
     def texts(self, key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        """What is left of each changed text: white space around kept words stays as it was; [start, end) word spans removed."""
+        """What is left of each changed text, and the [start, end) spans of words removed; once for rows that are equal."""
         batch = _Batch(docs, self.id_col, self.text_col)
         gone = self.removed(batch, found)
-        ids, left, spans = [], [], []
-        for words, s, n, i in zip(batch.words, batch.starts, batch.sizes, batch.ids, strict=False):
+        ids, hashes, left, spans = [], [], [], []
+        seen: set[tuple[int, bytes]] = set()
+        for text, words, s, n, i in zip(batch.texts, batch.words, batch.starts, batch.sizes, batch.ids.tolist(), strict=False):
             out = gone[s : s + n]
-            if out.any():
+            if out.any() and (i, text) not in seen:
+                seen.add((i, text))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
-                ids.append(int(i))
+                ids.append(i)
+                hashes.append(xxhash.xxh64_intdigest(text, 42))
                 left.append(b" ".join(w for w, x in zip(words, out.tolist(), strict=True) if not x).decode())
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({self.id_col: pa.array(ids, pa.int64()), "kept_text": pa.array(left, pa.string()), "removed_spans": pa.array(spans, kind)})
+        signed = pa.array(np.array(hashes, np.uint64).view(np.int64))
+        return pa.table({self.id_col: pa.array(ids, pa.int64()), "text_hash": signed, "kept_text": pa.array(left, pa.string()), "removed_spans": pa.array(spans, kind)})
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, window: int, period: int, last: str, schema: str) -> DataFrame:
@@ -230,9 +235,10 @@ def _run(docs: DataFrame, id_col: str, text_col: str, window: int, period: int,
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64(id_col), F.lit(batches))).groupBy("batch")
     to_bucket, to_batch = "bucket long, batch long, blob binary", "batch long, blob binary"
     finish = getattr(steps, last)
-    anchors = dealt.applyInArrow(lambda k, d: steps.send_anchors(k, d), to_bucket).groupBy("bucket").applyInArrow(lambda k, d: steps.share_anchors(k, d), to_batch)
-    windows = dealt.cogroup(anchors.groupBy("batch")).applyInArrow(lambda k, d, x: steps.send_windows(k, d, x), to_bucket).groupBy("bucket").applyInArrow(lambda k, d: steps.share_windows(k, d), to_batch)
-    return dealt.cogroup(windows.groupBy("batch")).applyInArrow(lambda k, d, x: finish(k, d, x), schema)
+    by = lambda df, name: df.groupBy(name)
+    anchors = by(by(dealt.applyInArrow(lambda k, d: steps.send_anchors(k, d), to_bucket), "bucket").applyInArrow(lambda k, d: steps.share_anchors(k, d), to_batch), "batch")
+    windows = by(by(dealt.cogroup(anchors).applyInArrow(lambda k, d, x: steps.send_windows(k, d, x), to_bucket), "bucket").applyInArrow(lambda k, d: steps.share_windows(k, d), to_batch), "batch")
+    return dealt.cogroup(windows).applyInArrow(lambda k, d, x: finish(k, d, x), schema)
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31) -> DataFrame:
@@ -247,8 +253,9 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31) -> DataFrame:
-    """The documents that lose words: id, kept_text (kept words joined by one space), removed_spans of word places.
+    """The documents that lose words: id, text_hash, kept_text (kept words joined by one space), removed_spans of word places.
 
-    Same rules as repeated_words; documents that lose nothing are not returned.
+    Same rules as repeated_words; documents that lose nothing are not returned, and rows of equal id and text once.
+    text_hash is xxhash64(text), so that id and hash find the row again.
     """
-    return _run(docs, id_col, text_col, window, period, "texts", f"{id_col} long, kept_text string, removed_spans array<struct<start:long,end:long>>")
+    return _run(docs, id_col, text_col, window, period, "texts", f"{id_col} long, text_hash long, kept_text string, removed_spans array<struct<start:long,end:long>>")

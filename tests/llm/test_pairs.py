@@ -78,6 +78,8 @@ def test_repeats_of_awkward_tables(spark):
     rows = [(None, long), (7, long), (7, long), (8, long)]
     got = sorted((r.doc_id, r.n_removed) for r in substring.repeated_words(spark.createDataFrame(rows, schema)).collect())
     assert got == [(7, 0), (7, 0), (8, 60)]
+    short = [(i, t) for i, t in enumerate([None, "", "a b c", "a b c"] * 3)]  # batches without any window
+    assert [r.n_removed for r in substring.repeated_words(spark.createDataFrame(short, schema)).collect()] == [0] * 12
 
 
 def brute_print(text):

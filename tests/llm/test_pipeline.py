@@ -9,7 +9,7 @@ from quillrake.llm import quality
 from tests.llm.test_pairs import brute_print, brute_repeats, roots
 from tests.llm.test_rows import brute_quality
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp int, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp int, kept_text string"
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +65,16 @@ def test_stages(spark, tables):
     assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
 
 
+def test_repeated_rows_stay_apart(spark, tables):
+    """Equal rows, one id with two texts, and rows without an id: each row is kept or cut on its own."""
+    words = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, words), (2, f"a {words}"), (2, f"a {words}"), (2, f"b {words}"), (3, "other text"), (None, words)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t), 1, "k") for i, t in rows], SCHEMA)
+    cut = corpus_pipeline.STAGES[2][1](spark, table, tables[1])
+    got = sorted((r.doc_id or 0, r.text, r.n_chars) for r in cut.collect())
+    assert got == [(0, words, len(words)), (1, words, len(words)), (2, "a", 1), (2, "a", 1), (2, "b", 1), (3, "other text", 10)]
+
+
 def test_run(spark, tables):
     docs, where = tables
     out = corpus_pipeline.run(spark, where)
