@@ -31,10 +31,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A changed text is its kept words joined by one space; unchanged texts stay as they were.
     """
-    cut = substring.cut_repeats(docs, window=50).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept_text").alias("__left"))
-    left = docs.join(cut, (docs["doc_id"] == cut["__id"]) & (F.xxhash64(docs["text"]) == cut["__hash"]), "left")
-    changed = {"text": F.coalesce("__left", "text"), "n_chars": F.coalesce(F.length("__left").cast("long"), "n_chars")}
-    return left.where("__left is null or __left <> ''").select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+    left = substring.without_repeats(docs, window=50)
+    length = F.when(F.col("__changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.select(*(length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

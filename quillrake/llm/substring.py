@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quillrake.llm.common import Bounded, utf8
 
@@ -66,7 +67,7 @@ class _Batch:
 
     def __init__(self, docs: pa.Table, id_col: str, text_col: str):
         order = np.argsort(docs[id_col].to_numpy(zero_copy_only=False), kind="stable")
-        self.ids = docs[id_col].to_numpy(zero_copy_only=False)[order]
+        self.order, self.ids = order, docs[id_col].to_numpy(zero_copy_only=False)[order]
         texts = utf8(docs[text_col].combine_chunks() if docs.num_rows else pa.array([], pa.string()))
         self.texts = [texts[i] for i in order]
         self.words = [t.split() for t in self.texts]
@@ -224,11 +225,29 @@ class _Steps:
         return pa.table({self.id_col: pa.array(ids, pa.int64()), "text_hash": signed, "kept_text": pa.array(left, pa.string()), "removed_spans": pa.array(spans, kind)})
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, window: int, period: int, last: str, schema: str) -> DataFrame:
+    def rows(self, key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
+        """The batch's rows with what is left of their texts and whether they changed; those that lost all words go."""
+        batch = _Batch(docs, self.id_col, self.text_col)
+        gone = self.removed(batch, found)
+        texts, changed, kept = docs[self.text_col].to_pylist(), np.zeros(docs.num_rows, bool), np.ones(docs.num_rows, bool)
+        for words, s, n, row in zip(batch.words, batch.starts, batch.sizes, batch.order.tolist(), strict=False):
+            out = gone[s : s + n]
+            if out.any():
+                texts[row] = b" ".join(w for w, x in zip(words, out.tolist(), strict=True) if not x).decode()
+                changed[row], kept[row] = True, not out.all()
+        at = docs.schema.get_field_index(self.text_col)
+        new = docs.set_column(at, docs.schema.field(at), pa.array(texts, docs.schema.field(at).type))
+        return new.drop_columns(["batch"]).append_column("changed", pa.array(changed)).filter(pa.array(kept))
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).where(F.col(id_col).isNotNull())
+
+
+def _run(docs: DataFrame, id_col: str, text_col: str, window: int, period: int, last: str, schema) -> DataFrame:
     if period not in COVERS or not period <= window:
         raise ValueError(f"period is one of {sorted(COVERS)}, at most the window")
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).where(F.col(id_col).isNotNull())
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BATCH_BYTES))
     steps = _Steps(id_col, text_col, window, period, batches)
@@ -249,7 +268,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document's copies and never remove each other; rows without an id are left out; an empty table gives none.
     Only the two named columns are read, so other columns of any name do no harm.
     """
-    return _run(docs, id_col, text_col, window, period, "digest", f"{id_col} long, n_words long, n_removed long, kept_sha256 string")
+    return _run(_named(docs, id_col, text_col), id_col, text_col, window, period, "digest", f"{id_col} long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31) -> DataFrame:
@@ -258,4 +277,18 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Same rules as repeated_words; documents that lose nothing are not returned, and rows of equal id and text once.
     text_hash is xxhash64(text), so that id and hash find the row again.
     """
-    return _run(docs, id_col, text_col, window, period, "texts", f"{id_col} long, text_hash long, kept_text string, removed_spans array<struct<start:long,end:long>>")
+    return _run(_named(docs, id_col, text_col), id_col, text_col, window, period, "texts", f"{id_col} long, text_hash long, kept_text string, removed_spans array<struct<start:long,end:long>>")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31) -> DataFrame:
+    """The rows of docs, all columns, with repeated words cut from their texts, and __changed: did the text change?
+
+    Same rules as repeated_words. A changed text is its kept words joined by one space; rows that lose all words go;
+    rows without an id stay as they are. Rows travel with their texts, so no join moves the texts again.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumns({names[id_col]: F.col(names[id_col]).cast("long"), names[text_col]: F.col(names[text_col]).cast("string")})
+    schema = StructType([*wide.schema.fields, StructField("changed", BooleanType())])
+    cut = _run(wide.where(F.col(names[id_col]).isNotNull()), names[id_col], names[text_col], window, period, "rows", schema)
+    whole = cut.unionByName(wide.where(F.col(names[id_col]).isNull()).withColumn("changed", F.lit(False)))
+    return whole.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("changed").alias("__changed"))
