@@ -2,7 +2,7 @@
 
 Documents keep their order; each input partition packs its own stream in segments of bounded size. Cuts may fall at
 document ends (free), sentence ends (cheap) and, so that no long sentence forces padding, at every so many tokens
-(dearer). With P the places of possible cuts, the least cost up to cut j is
+without such ends (dearer). With P the places of possible cuts, the least cost up to cut j is
 
     f(j) = penalty(j) + min over i with P(j) - P(i) <= width of f(i) + padding(P(j) - P(i))
 
@@ -15,18 +15,23 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrake.llm.common import Bounded, utf8
+from quillrake.llm.common import Bounded
 
-#: Costs of a cut in tokens of padding; tokens between cuts that no boundary offers; tokens of a segment.
-SENTENCE_COST, TOKEN_COST, STRIDE, SEGMENT = 4, 24, 32, 1_000_000
+#: Costs of a cut in tokens of padding; tokens between cuts that no boundary offers; tokens of a segment; bytes of
+#: text whose words are looked up together.
+SENTENCE_COST, TOKEN_COST, STRIDE, SEGMENT, SLICE = 4, 24, 32, 1_000_000, 4_000_000
 
 
 class WordIds:
@@ -41,29 +46,70 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Bounded(None, 400_000)
-        self.memo.make = self._word
+        self.memo = Bounded(self._word, 1_000_000)
         stops = re.compile(r"[.!?]+[\"')\]]*(</w>)?")
         self.stops = np.array(sorted(i for t, i in self.tokenizer.get_vocab().items() if stops.fullmatch(t)), np.uint32)
 
-    def _encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 4096):  # what the library makes of a word is large, and goes with each part
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)
+            out += [array("I", x.ids).tobytes() for x in found]
+        return out
 
-    def _word(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1:] in (b".", b",") and word[-2:-1].isalnum() and word[-2] < 128:
-            return self.memo[word[:-1]] + self.memo[word[-1:]]
-        return self._encode(word)
+    @staticmethod
+    def _core(word: bytes) -> bytes:
+        """The word without a full stop or comma that is a token of its own."""
+        return word[:-1] if len(word) > 1 and word[-1:] in (b".", b",") and word[-2] < 128 and word[-2:-1].isalnum() else word
 
-    def encode(self, text: bytes) -> bytes:
-        words = (text if b"<|" in text else text.lower()).split()
-        memo = self.memo
-        return b"".join([memo[w] if len(w) < 64 else self._encode(w) for w in words])
+    def _word(self, word: bytes) -> bytes:
+        core = self._core(word)
+        return self._encode([word])[0] if core is word else self.memo[core] + self.memo[word[-1:]]
+
+    def _all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; those that no memo has are encoded together."""
+        memo, older = self.memo, self.memo.old
+        found = list(map(memo.get, words))
+        missing = list(compress(words, map(is_, found, repeat(None))))
+        new = {w for w in map(self._core, missing) if w not in memo and w not in older}
+        fresh = dict(zip(new, self._encode(list(new)), strict=True))
+
+        def make(word: bytes) -> bytes:
+            made = fresh.get(word)
+            return self._word(word) if made is None else made
+
+        memo.make = make
+        rest = iter([memo[w] for w in missing])
+        return [next(rest) if x is None else x for x in found]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, each text's closed by end, and how many each text has.
+
+        Each distinct word is looked up once; its ids are then laid out wherever it stands.
+        """
+        texts = pc.fill_null(texts, "")
+        plain = pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.if_else(plain, texts, pc.ascii_lower(texts)))
+        words = lists.flatten().dictionary_encode()
+        packed = self._all(words.dictionary.cast(pa.binary()).to_pylist())
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        table = np.frombuffer(b"".join(packed), "<u4")
+        size, table = np.append(size, 1), np.append(table, np.uint32(end))
+        closes = lists.offsets.to_numpy()[1:]
+        word = np.insert(words.indices.to_numpy(), closes, len(packed))
+        many = size[word]
+        last = np.cumsum(many)
+        ids = table[np.repeat((np.cumsum(size) - size)[word] - last + many, many) + np.arange(last[-1])]
+        return ids, np.diff(last[closes + np.arange(len(closes))], prepend=0)
 
 
 def cut_places(ends: np.ndarray, stops: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Where cuts may fall and what each costs. ends: places after each document; stops: places after sentences."""
     total = int(ends[-1])
-    spare = np.concatenate([np.arange(stride, total, stride), np.arange(max(1, total - 2048), total)])
+    spare = np.arange(stride, total, stride)
+    bounds = np.sort(np.concatenate([[0], ends, stops]))
+    spare = spare[spare - bounds[np.searchsorted(bounds, spare, side="right") - 1] >= stride]
+    spare = np.concatenate([spare, np.arange(max(1, total - 2048), total)])
     places = np.concatenate([[0], ends, stops, spare])
     costs = np.concatenate([[0], np.zeros(len(ends), np.int64), np.full(len(stops), SENTENCE_COST), np.full(len(spare), TOKEN_COST)])
     order = np.lexsort((costs, places))
@@ -126,6 +172,17 @@ def pieces(sizes: np.ndarray, stops: np.ndarray, width: int) -> dict[str, np.nda
     return {"doc": doc, "start": at - (ends - sizes)[doc], "at": at, "length": length, "sequence": sequence, "offset": at - cuts[sequence]}
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch whose strings have about so many bytes; at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 _tokenizers: dict[str, WordIds] = {}
 
 
@@ -141,33 +198,35 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizers.get(tokenizer_path) or _tokenizers.setdefault(tokenizer_path, WordIds(tokenizer_path))
-        end = np.array([end_id], "<u4").tobytes()
-        ids, blobs, held, base = [], [], 0, 0
+        ids, streams, counts, held, base, pid = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal base
-            stream = b"".join(blobs)
-            sizes = np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
-            stops = np.flatnonzero(np.isin(np.frombuffer(stream, "<u4"), words.stops)) + 1
-            found = pieces(sizes, stops, width)
-            cut = [stream[4 * a : 4 * (a + n)] for a, n in zip(found["at"].tolist(), found["length"].tolist(), strict=True)]
+            stream, sizes = np.concatenate(streams), np.concatenate(counts)
+            found = pieces(sizes, np.flatnonzero(np.isin(stream, words.stops)) + 1, width)
+            data = memoryview(stream.astype("<u4").tobytes())
+            cut = [data[4 * a : 4 * (a + n)] for a, n in zip(found["at"].tolist(), found["length"].tolist(), strict=True)]
             sequence = found["sequence"] + base
             base = int(sequence[-1]) + 1
-            columns = [pa.array(ids, pa.int64()).take(pa.array(found["doc"])), pa.array(found["start"]), pa.array(found["length"]), pa.array(cut, pa.binary()), pa.array(sizes[found["doc"]]), pa.array(sequence + (pid << 40)), pa.array(found["offset"])]
+            owner = pa.chunked_array(ids).take(pa.array(found["doc"])).combine_chunks()
+            columns = [owner, pa.array(found["start"]), pa.array(found["length"]), pa.array(cut, pa.binary()), pa.array(sizes[found["doc"]]), pa.array(sequence + (pid << 40)), pa.array(found["offset"])]
             return pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            pid = batch.column(2)[0].as_py() if batch.num_rows else 0
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                for key, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-                    ids.append(key)
-                    blobs.append(words.encode(text) + end)
-                    held += len(blobs[-1])
-                    if held >= 4 * SEGMENT:
-                        yield flush()
-                        ids, blobs, held = [], [], 0
-        if blobs:
+            if not batch.num_rows:
+                continue
+            pid = batch.column(2)[0].as_py()
+            for part in _slices(batch, 1, SLICE):
+                stream, sizes = words.encode(part.column(1), end_id)
+                ids.append(part.column(0))
+                streams.append(stream)
+                counts.append(sizes)
+                held += len(stream)
+                pa.default_memory_pool().release_unused()
+                if held >= SEGMENT:
+                    yield flush()
+                    ids, streams, counts, held = [], [], [], 0
+        if ids:
             yield flush()
 
     schema = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
