@@ -38,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, with their ids (binary, unsigned 32-bit little-endian)."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), width=2048, end_id=1)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), width=2048, end_id=1, memo=300_000, slice_bytes=1_000_000)
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("packing", packed)]

@@ -41,12 +41,12 @@ class WordIds:
     or digit is a token of its own, and ASCII case is folded before, where no special token's string can arise.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Bounded(self._word, 1_000_000)
+        self.memo = Bounded(self._word, most)
         stops = re.compile(r"[.!?]+[\"')\]]*(</w>)?")
         self.stops = np.array(sorted(i for t, i in self.tokenizer.get_vocab().items() if stops.fullmatch(t)), np.uint32)
 
@@ -183,21 +183,22 @@ def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
         first = last
 
 
-_tokenizers: dict[str, WordIds] = {}
+_tokenizers: dict[tuple[str, int], WordIds] = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000, slice_bytes: int = SLICE) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, unsigned 32-bit little-endian), doc_tokens, sequence_id, offset.
 
     Each text's ids are followed by end_id; null and empty texts are the end id alone. Each id lies in exactly one
     piece, pieces of a sequence follow one another from offset 0, and no sequence is longer than width. sequence_id is
     unique over the table: the input partition's number and a running number. Rows without an id, repeated rows and
     texts of any length are packed like others; an empty table gives none; other columns are not read.
-    The tokenizer's file must be at tokenizer_path on each executor.
+    The tokenizer's file must be at tokenizer_path on each executor. memo (words a worker remembers) and slice_bytes
+    (text looked up at once) trade memory for time only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokenizers.get(tokenizer_path) or _tokenizers.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        words = _tokenizers.get((tokenizer_path, memo)) or _tokenizers.setdefault((tokenizer_path, memo), WordIds(tokenizer_path, memo))
         ids, streams, counts, held, base, pid = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -216,7 +217,7 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int =
             if not batch.num_rows:
                 continue
             pid = batch.column(2)[0].as_py()
-            for part in _slices(batch, 1, SLICE):
+            for part in _slices(batch, 1, slice_bytes):
                 stream, sizes = words.encode(part.column(1), end_id)
                 ids.append(part.column(0))
                 streams.append(stream)
