@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, SimHash near-duplicates, repeated passages, packing.
+"""The corpus pipeline: quality rules, near duplicates by shingles, repeated passages, packing.
 
 Each stage works on all that the one before kept, written as Parquet and read again. All but the last return the
 columns of documents.
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrake.llm import packing, quality, simhash, substring
+from quillrake.llm import packing, quality, shingles, substring
 from quillrake.llm.common import staged, table
 
 
@@ -20,8 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: that of the smallest id. Rows without an id stay."""
-    told = simhash.near_duplicates(docs)
+    """One document of each group that links of Jaccard 0.8 or more over five-word shingles join: that of the smallest
+    id. Rows without an id stay."""
+    told = shingles.near_duplicates(docs, size=5, least="0.8")
     gone = told.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -43,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("packing", packed)]
 
-#: The fingerprints and the packing have no SQL form; the stages are tested against brute force.
+#: The shingles and the packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,213 @@
+"""Exact near-duplicate groups by the Jaccard coefficient of sets of word shingles, through prefix filters.
+
+A text is the set of hashes of its shingles. Equal sets collapse into one key. With any one order of all shingles, two
+sets of a coefficient of at least t share one of the first n - ceil(t n) + 1 shingles of each, so only these travel to
+buckets; sizes and places rule out most of the pairs that meet there, and the full sets decide the rest. The order puts
+shingles that a bounded sample repeats last, so passages that many texts hold make no large buckets; which texts the
+sample has changes the work, never the result. Hashes have 64 bits and are taken for the shingles.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillrake.llm.common import Bounded, staged, utf8
+from quillrake.llm.components import components
+
+#: Texts of the sample that orders shingles, and the repeated shingles it keeps at most.
+SAMPLE, COMMON = 8_192, 500_000
+#: Entries that a bucket holds on average.
+BUCKET = 1_000_000
+#: Pairs of a bucket after which repeated ones are dropped.
+PAIRS = 1 << 18
+
+_ENTRY = np.dtype([("shingle", "<u8"), ("key", "<i8"), ("size", "<u4"), ("place", "<u4")])
+_word_hash = Bounded(lambda w: xxhash.xxh64_intdigest(w, 11), 200_000)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of lower-cased (A-Z) words' shingles; a text of fewer words is one shingle, none: empty."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    if len(w) < size:
+        return np.array([xxhash.xxh64_intdigest(w.tobytes(), 13)], np.uint64)
+    n = len(w) - size + 1
+    h = w[:n].copy()
+    for i in range(1, size):
+        h = _mix(h) + w[i : i + n]
+    return np.unique(_mix(h))
+
+
+def set_key(found: np.ndarray) -> int:
+    """A signed 64-bit hash of a set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 17)).view(np.int64))
+
+
+def keys(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, key of the text's set) for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_key(shingle_set(t, size)) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "key"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, key long").select(F.col("id").alias(id_col), "key")
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(key, the set's bytes) for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1_000):
+                found = [shingle_set(t, size) for t in utf8(batch.column(0).slice(i, 1_000))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "found"])
+
+    return texts.mapInArrow(run, "key long, found binary")
+
+
+def _repeated(texts: DataFrame, size: int, n: int) -> np.ndarray:
+    """Sorted shingles that at least two sets of a sample hold, the most frequent ones if they are too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                found = [shingle_set(t, size) for t in utf8(batch.column(0).slice(i, 500))]
+                h, times = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], ["h", "times"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0)
+    counted = some.mapInArrow(run, "h long, times long").groupBy("h").agg(F.sum("times").alias("times")).where("times > 1")
+    return np.sort(np.array([r.h for r in counted.orderBy(F.desc("times"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
+
+
+def prefix(found: np.ndarray, common: np.ndarray, least: Fraction) -> np.ndarray:
+    """The shingles of a set that must hold one that any set of at least this coefficient shares."""
+    n = len(found)
+    if len(common) and n:
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        late = common[at] == found
+        found = np.concatenate([found[~late], found[late]])
+    return found[: n - math.ceil(least * n) + 1] if n else found
+
+
+def bucket_pairs(entries: np.ndarray, least: Fraction) -> Iterator[np.ndarray]:
+    """Pairs of keys (smaller first) that share an entry's shingle and whose sizes and places allow the coefficient."""
+    up, down = least.numerator, least.denominator
+    e = entries[np.lexsort((entries["key"], entries["size"], entries["shingle"]))]
+    e = e[np.concatenate([[True], (e["shingle"][1:] != e["shingle"][:-1]) | (e["key"][1:] != e["key"][:-1])])] if len(e) else e
+    size, place = e["size"].astype(np.int64), e["place"].astype(np.int64)
+    at, step, waiting, n = np.arange(len(e)), 0, [], 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(e)]
+        to = at + step
+        # sizes ascend within a shingle, so a partner that is too large ends the row
+        on = (e["shingle"][at] == e["shingle"][to]) & (size[at] * down >= size[to] * up)
+        at, to = at[on], to[on]
+        most = np.minimum(size[at] - place[at], size[to] - place[to])
+        ok = most * (up + down) >= up * (size[at] + size[to])
+        a, b = e["key"][at[ok]], e["key"][to[ok]]
+        waiting.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        n += len(a)
+        if n >= PAIRS:
+            yield np.unique(np.concatenate(waiting), axis=0)
+            waiting, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(waiting), axis=0)
+
+
+def _candidates(texts: DataFrame, size: int, least: Fraction, common: np.ndarray, buckets: int) -> DataFrame:
+    """Distinct pairs of keys (a, b) that may reach the coefficient; all that do are among them."""
+    shipped = texts.sparkSession.sparkContext.broadcast(common)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, made = set(), []
+            for t in utf8(batch.column(0)):
+                found = shingle_set(t, size)
+                key = set_key(found)
+                if not len(found) or key in seen:
+                    continue
+                seen.add(key)
+                first = prefix(found, shipped.value, least)
+                e = np.empty(len(first), _ENTRY)
+                e["shingle"], e["key"], e["size"], e["place"] = first, key, len(found), np.arange(len(first))
+                made.append(e)
+            if not made:
+                continue
+            e = np.concatenate(made)
+            bucket = ((e["shingle"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            e = e[np.argsort(bucket, kind="stable")]
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+            full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([e[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "blob"])
+
+    def meet(key: tuple, got: pa.Table) -> pa.Table:
+        entries = np.frombuffer(b"".join(got["blob"].to_pylist()), _ENTRY)
+        found = list(bucket_pairs(entries, least))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+    sent = texts.mapInArrow(send, "bucket long, blob binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = least.numerator, least.denominator
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared * down >= up * (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sets.select(F.col("key").alias("a"), F.col("found").alias("x")), sets.select(F.col("key").alias("b"), F.col("found").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def linked(docs: DataFrame, told: DataFrame, text_col: str, size: int, least: Fraction) -> DataFrame:
+    """(key, component) of the keys in told whose sets reach another's; a component is its smallest key."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    n = told.count()
+    common = _repeated(texts, size, n)
+    average = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0).agg(F.avg(F.length("text"))).first()[0] or 1
+    # about six letters a word, and a prefix of a share 1 - least of them
+    buckets = max(8, math.ceil(n * (average / 6 * float(1 - least) + 1) / BUCKET))
+    pairs = staged(_candidates(texts, size, least, common, buckets), "pairs")
+    asked = staged(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "asked")
+    sets = staged(_sets(texts, size).join(asked, "key", "left_semi").groupBy("key").agg(F.first("found").alias("found")), "sets")
+    return components(staged(_verified(pairs, sets, least), "links")).select(F.col("node").alias("key"), "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: str = "0.8") -> DataFrame:
+    """Per row: id and component_id, the smallest id reachable over links of at least this Jaccard coefficient.
+
+    Null, empty and wordless texts have the empty set and link to each other only. Rows without an id get the component
+    of their set, or null if nothing that it reaches has an id. Repeated rows are each returned. The result is exact.
+    """
+    told = staged(keys(docs, id_col, text_col, size), "keys")
+    groups = staged(linked(docs, told, text_col, size, Fraction(least)), "groups")
+    placed = told.join(groups, "key", "left").select(id_col, F.coalesce("component", "key").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min(id_col).alias("component_id"))
+    return placed.join(smallest, "component").select(id_col, "component_id")

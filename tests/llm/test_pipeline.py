@@ -1,11 +1,12 @@
 """The pipeline's stages against brute force on a small table with all kinds of rows."""
 
 import random
+from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
 import pytest
-from quillrake.llm import quality
+from quillrake.llm import quality, shingles
 from tests.llm.test_pairs import brute_print, brute_repeats, roots
 from tests.llm.test_rows import brute_quality
 
@@ -85,3 +86,58 @@ def test_empty(spark, tables):
     table = spark.read.parquet(f"{tables[1]}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table, tables[1]).count() == 0
+
+
+def brute_shingles(text, size=5):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = text.encode().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def brute_near(docs):
+    """(id, text) -> root of each id over pairs of Jaccard 0.8 or more of five-word shingles, by all pairs."""
+    found = [(i, brute_shingles(t)) for i, t in docs]
+    near = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    return roots(sorted({i for i, _ in docs}), [(i, j) for x, (i, a) in enumerate(found) for j, b in found[:x] if i != j and near(a, b)])
+
+
+def test_near_duplicates_by_jaccard(spark, tables):
+    """Copies with words changed up to and past 0.8, a passage that most share, and chains, against all pairs."""
+    rnd = random.Random(23)
+    passage = [f"p{i}" for i in range(80)]
+    texts = ["", None, " \n ", "one two", "One TWO", "one two three four five", "one two three four five six"]
+    for i in range(60):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([6, 12, 50, 120, 300]))] + passage * (i % 2)
+        texts.append(" ".join(base))
+        for _ in range(5):
+            other = list(base)
+            for _ in range(rnd.randint(0, 1 + len(base) // 40)):
+                other[rnd.randrange(len(other))] = f"v{rnd.randrange(5000)}"
+            texts.append(" ".join(other[: len(other) - rnd.randint(0, 1 + len(base) // 9)]))
+    ids = list(range(len(texts)))
+    rnd.shuffle(ids)
+    root = brute_near(list(zip(ids, texts, strict=True)))
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "k") for i, t in zip(ids, texts, strict=True)], SCHEMA).repartition(5)
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, table, tables[1]).collect()}
+    assert kept == {i for i in ids if root[i] == i} and 60 < len(kept) < 300
+
+
+def test_shingle_order_changes_nothing():
+    """Prefixes of two sets of 0.8 meet whichever shingles are common, at the bound itself too."""
+    rnd = np.random.default_rng(3)
+    least = Fraction("0.8")
+    for n in (1, 4, 5, 9, 10, 40, 333):
+        shared, extra = -(-8 * n // 10), n - -(-8 * n // 10)
+        every = np.unique(rnd.integers(0, 1 << 63, n, np.uint64))
+        a, b = np.sort(every), np.sort(every[rnd.permutation(n)[: n - extra]])
+        for part in (0, 0.5, 1):
+            common = np.sort(every[rnd.random(n) < part])
+            sets = [(1, a), (2, b)]
+            made = []
+            for key, found in sets:
+                p = shingles.prefix(found, common, least)
+                e = np.empty(len(p), shingles._ENTRY)
+                e["shingle"], e["key"], e["size"], e["place"] = p, key, len(found), np.arange(len(p))
+                made.append(e)
+            got = [tuple(x) for chunk in shingles.bucket_pairs(np.concatenate(made), least) for x in chunk]
+            assert (1, 2) in got and len(b) == shared
