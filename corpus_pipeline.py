@@ -20,11 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of Jaccard 0.8 or more over five-word shingles join: that of the smallest
-    id. Rows without an id stay."""
-    told = shingles.near_duplicates(docs, size=5, least="0.8")
-    gone = told.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group that links of Jaccard 0.8 or more over five-word shingles join: that of the smallest id.
+
+    Rows without an id and repeated rows of one id link like others: of a group without any id one row stays, and of
+    rows that share the smallest id the one of the smallest hash of its columns.
+    """
+    return shingles.one_each(docs, size=5, least="0.8")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrake.llm.common import Bounded, staged, utf8
@@ -59,17 +59,6 @@ def set_key(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 17)).view(np.int64))
 
 
-def keys(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, key of the text's set) for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [set_key(shingle_set(t, size)) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "key"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, key long").select(F.col("id").alias(id_col), "key")
-
-
 def _sets(texts: DataFrame, size: int) -> DataFrame:
     """(key, the set's bytes) for each text."""
 
@@ -186,10 +175,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def linked(docs: DataFrame, told: DataFrame, text_col: str, size: int, least: Fraction) -> DataFrame:
-    """(key, component) of the keys in told whose sets reach another's; a component is its smallest key."""
+def linked(docs: DataFrame, text_col: str, size: int, least: Fraction) -> DataFrame:
+    """(key, component) of the keys whose sets reach another's; a component is its smallest key."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    n = told.count()
+    n = docs.count()
     common = _repeated(texts, size, n)
     average = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0).agg(F.avg(F.length("text"))).first()[0] or 1
     # about six letters a word, and a prefix of a share 1 - least of them
@@ -200,14 +189,19 @@ def linked(docs: DataFrame, told: DataFrame, text_col: str, size: int, least: Fr
     return components(staged(_verified(pairs, sets, least), "links")).select(F.col("node").alias("key"), "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: str = "0.8") -> DataFrame:
-    """Per row: id and component_id, the smallest id reachable over links of at least this Jaccard coefficient.
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: str = "0.8") -> DataFrame:
+    """One row of each group that links of at least this Jaccard coefficient join, with the columns of docs.
 
-    Null, empty and wordless texts have the empty set and link to each other only. Rows without an id get the component
-    of their set, or null if nothing that it reaches has an id. Repeated rows are each returned. The result is exact.
+    The row of the smallest id stays, one without an id only where the group has none; among rows of one id, that of
+    the smallest hash of all columns. Null, empty and wordless texts have the empty set and link to each other only.
+    The groups are exact; repeated rows and rows without an id link like any other.
     """
-    told = staged(keys(docs, id_col, text_col, size), "keys")
-    groups = staged(linked(docs, told, text_col, size, Fraction(least)), "groups")
-    placed = told.join(groups, "key", "left").select(id_col, F.coalesce("component", "key").alias("component"))
-    smallest = placed.groupBy("component").agg(F.min(id_col).alias("component_id"))
-    return placed.join(smallest, "component").select(id_col, "component_id")
+    groups = staged(linked(docs, text_col, size, Fraction(least)), "groups").toDF("__key", "__component")
+
+    def key(texts: pa.Array) -> pa.Array:
+        return pa.array([set_key(shingle_set(t, size)) for t in utf8(texts)], pa.int64())
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    placed = docs.withColumn("__key", F.arrow_udf(key, "long")(F.col(text_col).cast("string"))).join(groups, "__key", "left")
+    order = Window.partitionBy(F.coalesce("__component", "__key")).orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(*columns))
+    return placed.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*columns)

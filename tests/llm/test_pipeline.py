@@ -141,3 +141,15 @@ def test_shingle_order_changes_nothing():
                 made.append(e)
             got = [tuple(x) for chunk in shingles.bucket_pairs(np.concatenate(made), least) for x in chunk]
             assert (1, 2) in got and len(b) == shared
+
+
+def test_near_duplicates_keep_one_row(spark, tables):
+    """Copies without an id, repeated rows of one id and one id with two texts: one row of each group stays."""
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(None, words[0]), (7, words[0]), (7, words[0]), (None, words[1]), (None, words[1]), (None, words[1] + " x"), (3, words[2]), (3, words[3]), (3, words[3]), (4, words[3] + " x"), (None, None), (9, ""), (9, " ")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "k") for i, t in rows], SCHEMA).repartition(4)
+    got = corpus_pipeline.STAGES[1][1](spark, table, tables[1])
+    assert got.columns == table.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == 5 and {(7, words[0]), (3, words[2]), (3, words[3])} <= set(kept)
+    assert [i for i, t in kept if t in (words[1], words[1] + " x")] == [None] and [i for i, t in kept if not (t or "").strip()] == [9]
