@@ -236,7 +236,7 @@ def markdown_blocks(spark, sf_dir):
 def headed(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     heading = F.col("doc_id") % 3 == 0
-    return d.select(F.col("source").alias("document_id"), F.col("doc_id").alias("block_idx"), F.left("text", F.lit(120)).alias("text"), F.when(heading, "heading").otherwise("paragraph").alias("block_type"), F.when(heading, (F.col("doc_id") / 3 % 4 + 1).cast("int")).alias("heading_level"))
+    return d.select(F.col("source").alias("document_id"), F.col("doc_id").alias("block_idx"), "text", F.when(heading, "heading").otherwise("paragraph").alias("block_type"), F.when(heading, (F.col("doc_id") / 3 % 4 + 1).cast("int")).alias("heading_level"))
 
 
 HEADED_SQL = "headed AS (SELECT source AS document_id, doc_id AS block_idx, substr(text, 1, 120) AS text, CASE WHEN doc_id % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS block_type, CASE WHEN doc_id % 3 = 0 THEN ((doc_id // 3) % 4 + 1)::INT END AS heading_level FROM documents)"
