@@ -1,7 +1,8 @@
 """Licence scans: segments of texts compared to templates by the Dice coefficient of their word bigrams.
 
 Text is normalised to lower-case runs of letters and digits. A segment is any run of neighbouring lines with words: a
-line alone, a wrapped licence, or the whole text. With a and b bigrams, Dice is 2 |shared| / (a + b),
+line alone, a wrapped licence, or the whole text. Where no such run matches a template, runs of neighbouring words that
+share lines with other words are searched too (`within`). With a and b bigrams, Dice is 2 |shared| / (a + b),
 so a coefficient of t needs a between b t / (2 - t) and b (2 - t) / t: only templates in these bounds are compared, and
 since templates are sorted by size, two bisections find them. A segment must also hold one of a few words that every
 segment within the threshold provably has, which one scan of the text decides for most.
@@ -101,10 +102,54 @@ class Scanner:
                     out += [(name, score, start, end) for name, score in self.match(text[start:end])]
         return out
 
+    def within(self, text: str, found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+        """(template, coefficient, start, end) of runs of words, wherever lines break, that match; per template the
+        best first, then the earliest and shortest, none that overlaps another or one that is already found.
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+        A best run starts and ends with bigrams of the template, so only those places are tried.
+        """
+        if not self.must.search(text.lower()):
+            return []
+        words = [(w, m.start(), m.end()) for m in _word.finditer(text) for w in _word.findall(m.group().lower())]
+        out, t = [], self.threshold
+        for size, name, grams in self.templates:
+            span = len(next(iter(grams)))
+            at = self._places(words, span, grams)
+            need, most = size * t / (2 - t) - 1e-9, size * (2 - t) / t + 1e-9
+            runs = []
+            for x, (i, _) in enumerate(at):
+                if x + need > len(at):
+                    break
+                left, shared = dict(grams), 0
+                for j, g in at[x:]:
+                    if j - i + 1 > most:
+                        break
+                    if left[g]:
+                        left[g] -= 1
+                        shared += 1
+                        score = 2 * shared / (size + j - i + 1)
+                        if score >= t:
+                            runs.append((-score, i, j + span))
+            taken = [(a, b) for k, _, a, b in found if k == name]
+            for score, i, end in sorted(runs):
+                a, b = words[i][1], words[end - 1][2]
+                if all(b <= c or d <= a for c, d in taken):
+                    taken.append((a, b))
+                    out.append((name, -score, a, b))
+        return out
+
+    @staticmethod
+    def _places(words: list[tuple[str, int, int]], span: int, grams: Counter) -> list[tuple[int, tuple]]:
+        """Places of the words that start a bigram of the template, and that bigram."""
+        if span == 1:
+            return [(i, (w,)) for i, (w, _, _) in enumerate(words) if (w,) in grams]
+        return [(i, g) for i, g in enumerate(zip((w[0] for w in words), (w[0] for w in words[1:]), strict=False)) if g in grams]
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, within: bool = False) -> DataFrame:
     """Per row: id, license (the best match of the text, null if none), dice (of it), matches: array of all matches.
 
+    With `within`, notices that share lines with other words are found too; matches stay ordered by start, then end.
     Best is the largest coefficient, then the earliest start, then the template's name. Null and empty texts match
     nothing; repeated rows are each returned; an empty table gives an empty one; other columns are not read. Start and
     end are places in the text by code points.
@@ -114,7 +159,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scanner.scan(t.decode()) for t in utf8(batch.column(1))]
+            texts = [t.decode() for t in utf8(batch.column(1))]
+            found = [scanner.scan(t) for t in texts]
+            if within:
+                found = [sorted(f + more, key=lambda x: x[2:]) if (more := scanner.within(t, f)) else f for t, f in zip(texts, found, strict=True)]
             best = [min(f, key=lambda x: (-x[1], x[2], x[0]))[:2] if f else (None, None) for f in found]
             matches = [[dict(zip(("license", "dice", "start", "end"), m, strict=True)) for m in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), pa.array(matches, kind)], ["id", "license", "dice", "matches"])

@@ -23,7 +23,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"), within=True)
     return found.select("doc_id", "license", F.round("dice", 9).alias("dice"), F.size("matches").cast("long").alias("n_matches"), F.get("matches", F.lit(0))["start"].alias("first_start"))
 
 

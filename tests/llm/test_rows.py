@@ -229,3 +229,18 @@ def test_byte_bpe(spark):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
     assert bpe.encode(df.where("false"), path, pattern).count() == 0
+
+
+def test_licenses_within_lines(spark):
+    """Each template among other words of its line, or wrapped in the middle of lines, is found where it stands."""
+    said = ["Copyright 2024 The Foo Project Authors. {}", "{} See LICENSE for details.", "The code is {}", "many plain words " * 40 + "{}" + " and more plain words" * 40]
+    rows = [(k, t, s.replace("{}", t)) for k, t in licenses.TEMPLATES.items() for s in said]
+    rows += [(k, t, "foo bar. " + "\n".join((" ".join(w[:2]), " ".join(w[2:]))) + " baz qux") for k, t in licenses.TEMPLATES.items() for w in [t.split()]]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "doc_id long, text string"), within=True).collect()}
+    for i, (k, t, text) in enumerate(rows):
+        hits = [m for m in got[i].matches if m.license == k]
+        assert hits and all(licenses.dice(licenses.bigrams(text[m.start : m.end]), licenses.bigrams(t)) == pytest.approx(m.dice) for m in hits), text
+    lines = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "doc_id long, text string")).collect()}
+    lost = sum(k not in {m.license for m in lines[i].matches} for i, (k, _, _) in enumerate(rows))
+    assert lost > 20
+    print("notices", len(rows), "lost by lines alone", lost)
