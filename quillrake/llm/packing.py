@@ -13,13 +13,11 @@ single places, looked up beforehand.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
 from collections import deque
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -27,80 +25,117 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrake.llm.common import Bounded
+from quillrake.llm.bpe import PLAIN, STEP_BYTES, PairTable, core_and_marks, laid_out, merge_flat, per_group, spelled, string_bytes
+from quillrake.llm.common import slices
 
 #: Costs of a cut in tokens of padding; tokens between cuts that no boundary offers; tokens of a segment; bytes of
 #: text whose words are looked up together.
 SENTENCE_COST, TOKEN_COST, STRIDE, SEGMENT, SLICE = 4, 24, 32, 1_000_000, 4_000_000
 
 
-class WordIds:
-    """Ids of a tokenizer that drops white space, from memos of words: packed little-endian, four bytes an id.
+class TextIds:
+    """Ids of whole texts by a tokenizers file; the library encodes each text."""
 
-    Words are cut at ASCII white space, which no token of such a tokenizer spans. A full stop or comma after a letter
-    or digit is a token of its own, and ASCII case is folded before, where no special token's string can arise.
-    """
-
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Bounded(self._word, most)
+        vocab = self.tokenizer.get_vocab()
         stops = re.compile(r"[.!?]+[\"')\]]*(</w>)?")
-        self.stops = np.array(sorted(i for t, i in self.tokenizer.get_vocab().items() if stops.fullmatch(t)), np.uint32)
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(words), 4096):  # what the library makes of a word is large, and goes with each part
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)
-            out += [array("I", x.ids).tobytes() for x in found]
-        return out
-
-    @staticmethod
-    def _core(word: bytes) -> bytes:
-        """The word without a full stop or comma that is a token of its own."""
-        return word[:-1] if len(word) > 1 and word[-1:] in (b".", b",") and word[-2] < 128 and word[-2:-1].isalnum() else word
-
-    def _word(self, word: bytes) -> bytes:
-        core = self._core(word)
-        return self._encode([word])[0] if core is word else self.memo[core] + self.memo[word[-1:]]
-
-    def _all(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word; those that no memo has are encoded together."""
-        memo, older = self.memo, self.memo.old
-        found = list(map(memo.get, words))
-        missing = list(compress(words, map(is_, found, repeat(None))))
-        new = {w for w in map(self._core, missing) if w not in memo and w not in older}
-        fresh = dict(zip(new, self._encode(list(new)), strict=True))
-
-        def make(word: bytes) -> bytes:
-            made = fresh.get(word)
-            return self._word(word) if made is None else made
-
-        memo.make = make
-        rest = iter([memo[w] for w in missing])
-        return [next(rest) if x is None else x for x in found]
+        self.stops = np.array(sorted(i for t, i in vocab.items() if stops.fullmatch(t)), np.uint32)
+
+    def _library(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings, one after another, and how many each has."""
+        out, sizes = [np.zeros(0, np.int32)], []
+        for i in range(0, len(strings), 4096):  # what the library makes of a string is large, and goes with each part
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(strings[i : i + 4096], add_special_tokens=False)]
+            sizes += map(len, found)
+            out.append(np.fromiter((x for ids in found for x in ids), np.int32, sum(map(len, found))))
+        return np.concatenate(out), np.array(sizes, np.int64)
+
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._library(texts.to_pylist())
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts one after another, each text's closed by end, and how many each text has.
+        """The ids of texts one after another, each text's closed by end, and how many each text has."""
+        ids, sizes = self._ids(pc.fill_null(texts, ""))
+        return np.insert(ids, np.cumsum(sizes), end).astype(np.uint32), sizes + 1
+
+
+class WordIds(TextIds):
+    """Ids of a tokenizer that drops white space, folds case and splits letters from marks, without the library's detour.
 
-        Each distinct word is looked up once; its ids are then laid out wherever it stands.
-        """
-        texts = pc.fill_null(texts, "")
-        plain = pc.match_substring(texts, "<|")
-        lists = pc.ascii_split_whitespace(pc.if_else(plain, texts, pc.ascii_lower(texts)))
+    Words are cut at ASCII white space, which no token of such a tokenizer spans; ASCII case is folded before, where no
+    special token's string can arise. Each distinct word of a slice of texts is merged once, together with all others;
+    those of letters and marks after them by merge_flat, the rest by the library. `fits` tells whether a file is such.
+    """
+
+    #: The pipeline that is understood, as the file states it (fixed values of the format).
+    _KNOWN = ("NFC", "Replace", "Lowercase"), "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.pairs = PairTable(*np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64).reshape(-1, 3).T)
+        letter = _byte_letters()
+        self.inner, self.last = (np.array([vocab[c + suffix] for c in letter], np.int32) for suffix in ("", model["end_of_word_suffix"]))
+
+    @classmethod
+    def fits(cls, path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        model, vocab = parts["model"], parts["model"].get("vocab", {})
+        try:
+            steps = tuple(x["type"] for x in parts["normalizer"]["normalizers"])
+            split, level = parts["pre_tokenizer"]["pretokenizers"]
+            known = (steps, split["pattern"]["Regex"]) == cls._KNOWN and split["behavior"] == "Removed" and split["invert"] and level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
+            plain = model["type"] == "BPE" and not any(model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")) and model["end_of_word_suffix"]
+            ids = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+            whole = all(c + suffix in vocab for c in _byte_letters() for suffix in ("", model["end_of_word_suffix"]))
+        except (KeyError, TypeError, ValueError):
+            return False
+        special = all(x["content"].startswith("<|") for x in parts["added_tokens"])
+        return bool(known and plain and whole and special and all(a < b for a, b in zip(ids, ids[1:])))  # merges in the order of their ids
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after another, and how many each has."""
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(words.filter(pa.array(plain)))
+        plain[plain] = pc.less_equal(pc.binary_length(low), STEP_BYTES).to_numpy(zero_copy_only=False)  # NFC changes none of these letters
+        cores, marks, tails = core_and_marks(pc.utf8_lower(words.filter(pa.array(plain))))
+        data, sizes = string_bytes(pa.concat_arrays([cores.dictionary.cast(pa.binary()), tails]))
+        base, ends = self.inner[data], np.cumsum(sizes) - 1
+        base[ends] = self.last[data[ends]]
+        ids, sizes = merge_flat(base, sizes, self.pairs)
+        more, many = self._library(words.filter(pa.array(~plain)).to_pylist())
+        n = len(cores.dictionary)
+        sequence, count = spelled(plain, cores.indices.to_numpy(), np.where(marks < 0, -1, marks + n), [1] * len(many), np.arange(len(many)) + n + len(tails))
+        got, each = laid_out(np.concatenate([ids, more]), np.concatenate([sizes, many]), sequence)
+        return got, per_group(each, count)
+
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        special = pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
         words = lists.flatten().dictionary_encode()
-        packed = self._all(words.dictionary.cast(pa.binary()).to_pylist())
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        table = np.frombuffer(b"".join(packed), "<u4")
-        size, table = np.append(size, 1), np.append(table, np.uint32(end))
-        closes = lists.offsets.to_numpy()[1:]
-        word = np.insert(words.indices.to_numpy(), closes, len(packed))
-        many = size[word]
-        last = np.cumsum(many)
-        ids = table[np.repeat((np.cumsum(size) - size)[word] - last + many, many) + np.arange(last[-1])]
-        return ids, np.diff(last[closes + np.arange(len(closes))], prepend=0)
+        many = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, sizes = self._words(words.dictionary)
+        ids, each = laid_out(flat, sizes, words.indices.to_numpy())
+        return ids, per_group(each, many)
+
+
+def _byte_letters() -> list[str]:
+    """The letter that a byte-level tokenizer writes for each byte, asked of the library; bytes of no UTF-8 get blanks."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    level, letter = ByteLevel(add_prefix_space=False, use_regex=False), [" "] * 256
+    points = [*range(0x800), *range(0x800, 0xD800, 0x800), *range(0xE000, 0x10000, 0x800), *range(0x10000, 0x110000, 0x10000)]
+    for c in map(chr, points):
+        for byte, found in zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True):
+            letter[byte] = found
+    return [x if x != " " else letter[0x21] for x in letter]
 
 
 def cut_places(ends: np.ndarray, stops: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -172,33 +207,29 @@ def pieces(sizes: np.ndarray, stops: np.ndarray, width: int) -> dict[str, np.nda
     return {"doc": doc, "start": at - (ends - sizes)[doc], "at": at, "length": length, "sequence": sequence, "offset": at - cuts[sequence]}
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of a batch whose strings have about so many bytes; at least one row each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    first = 0
-    while first < batch.num_rows:
-        before = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield batch.slice(first, last - first)
-        first = last
+_tokenizers: dict[str, TextIds] = {}
 
 
-_tokenizers: dict[tuple[str, int], WordIds] = {}
+def _tokenizer(path: str) -> TextIds:
+    if path not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[path] = (WordIds if WordIds.fits(path) else TextIds)(path)
+    return _tokenizers[path]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000, slice_bytes: int = SLICE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, unsigned 32-bit little-endian), doc_tokens, sequence_id, offset.
 
     Each text's ids are followed by end_id; null and empty texts are the end id alone. Each id lies in exactly one
     piece, pieces of a sequence follow one another from offset 0, and no sequence is longer than width. sequence_id is
     unique over the table: the input partition's number and a running number. Rows without an id, repeated rows and
     texts of any length are packed like others; an empty table gives none; other columns are not read.
-    The tokenizer's file must be at tokenizer_path on each executor. memo (words a worker remembers) and slice_bytes
-    (text looked up at once) trade memory for time only.
+    The tokenizer's file must be at tokenizer_path on each executor; any tokenizers file will do. slice_bytes (text
+    looked up at once) trades memory for time only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokenizers.get((tokenizer_path, memo)) or _tokenizers.setdefault((tokenizer_path, memo), WordIds(tokenizer_path, memo))
+        words = _tokenizer(tokenizer_path)
         ids, streams, counts, held, base, pid = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -217,7 +248,7 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int =
             if not batch.num_rows:
                 continue
             pid = batch.column(2)[0].as_py()
-            for part in _slices(batch, 1, slice_bytes):
+            for part in slices(batch, 1, slice_bytes):
                 stream, sizes = words.encode(part.column(1), end_id)
                 ids.append(part.column(0))
                 streams.append(stream)
