@@ -3,7 +3,7 @@
 A run of `window` words that two documents share is found without hashing each position of each document: word
 positions p with p mod `period` in a difference cover are anchors, hashed over window - period + 1 words. For any two
 alignments some shift below `period` brings both positions into the cover, so each shared run shares an aligned
-anchor. Only windows around shared anchors are then extended to full windows and compared by 128-bit hashes.
+anchor. Only windows around shared anchors are then extended to full windows and compared by hashes of 127 bits.
 
 Documents are dealt into batches by a hash of their id. A batch sends each anchor or window hash once, however often
 its documents hold it, so a passage that a third of all documents share reaches a bucket once per batch. Buckets
@@ -14,25 +14,27 @@ three uses share one exchange), and everything else that moves is packed arrays
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from quillrake.llm.common import Bounded, utf8
+from quillrake.llm.bpe import string_bytes
 
 #: Perfect difference covers: each residue modulo the period is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-#: Text bytes that a batch holds on average.
-BATCH_BYTES = 3_000_000
+#: Text bytes that a batch holds on average, and text bytes whose hashes a bucket holds.
+BATCH_BYTES, BUCKET_BYTES = 3_000_000, 64_000_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_word_hash = Bounded(lambda w: xxhash.xxh64_intdigest(w, 7), 400_000)
+_ONE = np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,9 +43,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte intervals, eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[: len(data) + 1], (len(data) + 1, 8), (1, 1))
+    masks = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+    out, at, left, which = size.astype(np.uint64), start, size, np.arange(len(start))
+    while len(which):
+        chunk = eight[at].view(np.uint64)[:, 0] & masks[np.minimum(left, 8)]
+        out[which] = _mix((out[which] * _BASES[0]) ^ chunk)
+        on = left > 8
+        at, left, which = at[on] + 8, left[on] - 8, which[on]
+    return out
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
 
 class _Rolling:
@@ -62,62 +77,122 @@ class _Rolling:
         return _mix((sums[start + length] - sums[start]) * inverse[start])
 
 
+class _Known:
+    """A set of hashes that answers which of many it holds; a bitmap rules out most at the cost of one look."""
+
+    def __init__(self, *keys: np.ndarray):
+        order = np.lexsort(keys[::-1])
+        self.order, self.keys = order, [k[order] for k in keys]
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.keys[0] >> np.uint64(44)] = True
+
+    def maybe(self, first: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.bits[first >> np.uint64(44)])
+
+    def find(self, *keys: np.ndarray) -> np.ndarray:
+        """The place of each among the set's entries as they were given, -1 where there is none."""
+        out, n = np.full(len(keys[0]), -1, np.int64), len(self.order)
+        at, which = np.searchsorted(self.keys[0], keys[0]), np.arange(len(keys[0]))
+        while len(which):
+            on = at < n
+            on[on] = self.keys[0][at[on]] == keys[0][which[on]]
+            at, which = at[on], which[on]
+            same = np.ones(len(at), bool)
+            for mine, asked in zip(self.keys[1:], keys[1:], strict=True):
+                same &= mine[at] == asked[which]
+            out[which[same]] = self.order[at[same]]
+            at, which = at[~same] + 1, which[~same]
+        return out
+
+
 class _Batch:
-    """Documents of one batch: ids, words, and where each document's words start in the concatenation."""
+    """Documents of one batch in the order of their ids: their words' places in the bytes, and the words' hashes."""
 
     def __init__(self, docs: pa.Table, id_col: str, text_col: str):
-        order = np.argsort(docs[id_col].to_numpy(zero_copy_only=False), kind="stable")
-        self.order, self.ids = order, docs[id_col].to_numpy(zero_copy_only=False)[order]
-        texts = utf8(docs[text_col].combine_chunks() if docs.num_rows else pa.array([], pa.string()))
-        self.texts = [texts[i] for i in order]
-        self.words = [t.split() for t in self.texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes)])
-        self.hashes = np.fromiter((_word_hash[w] for ws in self.words for w in ws), np.uint64, int(self.starts[-1]))
+        ids = docs[id_col].to_numpy(zero_copy_only=False)
+        self.order = np.argsort(ids, kind="stable")
+        self.ids = ids[self.order]
+        texts = docs[text_col].combine_chunks() if docs.num_rows else pa.array([], pa.string())
+        self.data, length = string_bytes(pc.fill_null(texts.take(pa.array(self.order)), ""))
+        edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+        word, some = ~_SPACE[self.data], length > 0
+        begins, closes = word.copy(), word.copy()
+        begins[1:] &= ~word[:-1]
+        closes[:-1] &= ~word[1:]
+        begins[edges[:-1][some]] = word[edges[:-1][some]]
+        closes[edges[1:][some] - 1] = word[edges[1:][some] - 1]
+        self.at, self.to = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+        self.starts = np.searchsorted(self.at, edges)
+        self.sizes = np.diff(self.starts)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.hashes = word_hashes(self.data, self.at, self.to - self.at)
         self.rolling = _Rolling(self.hashes)
 
     def windows(self, length: int) -> np.ndarray:
-        """Starts, in the concatenation, of the windows of so many words that lie in one document."""
-        ok = np.zeros(len(self.hashes), bool)
-        for s, n in zip(self.starts[:-1], self.sizes, strict=True):
-            ok[s : s + max(0, n - length + 1)] = True
-        return np.flatnonzero(ok)
-
-    def doc(self, at: np.ndarray) -> np.ndarray:
-        """The document's place in ids, for places in the concatenation."""
-        return np.searchsorted(self.starts, at, side="right") - 1
+        """Starts, in the concatenation of words, of the windows of so many words that lie in one document."""
+        many = np.maximum(0, self.sizes - length + 1)
+        return np.repeat(self.starts[:-1] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
 
     def anchors(self, window: int, period: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the anchors of documents that hold a window."""
         length = window - period + 1
         at = self.windows(length)
-        d = self.doc(at)
-        keep = np.isin((at - self.starts[d]) % period, COVERS[period]) & (self.sizes[d] >= window)
-        at = at[keep]
-        return at, self.rolling.of(at, length) & ~np.uint64(1)
-
-
-def _to_buckets(batch: int, hashes: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+        d = self.doc[at]
+        cover = np.zeros(period, bool)
+        cover[list(COVERS[period])] = True
+        at = at[cover[(at - self.starts[d]) % period] & (self.sizes[d] >= window)]
+        return at, self.rolling.of(at, length) & ~_ONE
+
+    def kept(self, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of each document's kept words, joined by one space, one after another, and where they begin and end."""
+        stay = np.flatnonzero(~gone)
+        turn = np.zeros(len(self.data) + 1, np.int8)
+        turn[self.at[stay]] += 1
+        turn[self.to[stay]] -= 1
+        mask = np.cumsum(turn[:-1], dtype=np.int8).view(bool)
+        d = self.doc[stay]
+        later = np.concatenate([np.zeros(min(1, len(d)), bool), d[1:] == d[:-1]])
+        blank = self.at[stay][later] - 1  # a word that is not the first has white space before it
+        mask[blank] = True
+        data = self.data.copy()
+        data[blank] = 32
+        size = np.bincount(d, weights=(self.to - self.at)[stay] + later, minlength=len(self.ids)).astype(np.int64)
+        return data[mask], np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+
+    def lost(self, gone: np.ndarray) -> np.ndarray:
+        """How many words of each document go."""
+        return np.bincount(self.doc[gone], minlength=len(self.ids))
+
+
+def _to_buckets(batch: int, hashes: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.Table:
     """Rows (bucket, batch, blob); a blob is its columns' bytes, one after another."""
     bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(bucket, minlength=buckets))])
-    full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    blobs = [b"".join(c[order[cuts[b] : cuts[b + 1]]].tobytes() for c in columns) for b in full]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([batch] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "batch", "blob"])
+    full, first = np.unique(bucket[order], return_index=True)
+    columns, cuts = [c[order] for c in columns], np.append(first, len(order)).tolist()
+    blobs = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"bucket": pa.array(full), "batch": pa.array(np.full(len(full), batch)), "blob": pa.array(blobs, pa.binary())})
 
 
-def _answers(batches: np.ndarray, values: np.ndarray) -> pa.Table:
-    """Rows (batch, blob) of the values for each batch."""
+def _answers(batches: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """Rows (batch, blob) of the values for each batch; a blob is its columns' bytes, one after another."""
     order = np.argsort(batches, kind="stable")
-    batches, values = batches[order], values[order]
-    ids, first = np.unique(batches, return_index=True)
-    blobs = [x.tobytes() for x in np.split(values, first[1:])] if len(ids) else []
+    ids, first = np.unique(batches[order], return_index=True)
+    columns, cuts = tuple(c[order] for c in columns), np.append(first, len(order)).tolist()
+    blobs = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.table({"batch": pa.array(ids, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
-def _u64(blobs: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs.to_pylist()), np.uint64)
+def _columns(blobs: pa.ChunkedArray, n: int) -> np.ndarray:
+    """The n columns of blobs, one row each."""
+    return np.concatenate([np.zeros((n, 0), np.uint64), *(np.frombuffer(b, np.uint64).reshape(n, -1) for b in blobs.to_pylist())], axis=1)
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, in sorted columns."""
+    first = np.ones(len(keys[0]), bool)
+    first[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return first
 
 
 class _Steps:
@@ -130,118 +205,118 @@ class _Steps:
         batch = _Batch(docs, self.id_col, self.text_col)
         at, h = batch.anchors(self.window, self.period)
         order = np.argsort(h, kind="stable")  # places, and so ids, ascend already
-        h, ids = h[order], batch.ids[batch.doc(at)][order]
-        unique, first = np.unique(h, return_index=True)
+        h, ids = h[order], batch.ids[batch.doc[at]][order]
+        first = np.flatnonzero(_firsts(h))
         last = np.append(first, len(h))[1:] - 1
         many = (ids[first] != ids[last]).astype(np.uint64)
-        return pa.Table.from_batches(list(_to_buckets(key[0].as_py(), unique, [unique | many], self.buckets)))
+        return _to_buckets(key[0].as_py(), h[first], [h[first] | many], self.buckets)
 
     def share_anchors(self, key: tuple, got: pa.Table) -> pa.Table:
         """Answers each batch with those of its anchors that another document holds."""
         blobs = [np.frombuffer(b, np.uint64) for b in got["blob"].to_pylist()]
         h = np.concatenate(blobs)
         owner = np.repeat(got["batch"].to_numpy(), [len(b) for b in blobs])
-        many, h = (h & np.uint64(1)).astype(bool), h & ~np.uint64(1)
-        _, where, count = np.unique(h, return_inverse=True, return_counts=True)
-        keep = (count[where] > 1) | many
-        return _answers(owner[keep], h[keep])
+        order = np.argsort(h & ~_ONE, kind="stable")
+        h, owner = h[order], owner[order]
+        first = _firsts(h & ~_ONE)
+        alone = first & np.append(first, True)[1:]
+        keep = ~alone | (h & _ONE).astype(bool)
+        return _answers(owner[keep], h[keep] & ~_ONE)
 
     def send_windows(self, key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
+        """Sends each distinct window near a shared anchor with its least id; the second hash's last bit: another id has it too."""
         batch = _Batch(docs, self.id_col, self.text_col)
         at, h = batch.anchors(self.window, self.period)
-        at = at[np.isin(h, _u64(shared["blob"]))]
+        known = _Known(_columns(shared["blob"], 1)[0])
+        some = known.maybe(h)
+        at = at[some[known.find(h[some]) >= 0]]
         near = np.zeros(len(batch.hashes) + 1, np.int64)
-        d = batch.doc(at)
-        np.add.at(near, np.maximum(at - self.period + 1, batch.starts[d]), 1)
+        np.add.at(near, np.maximum(at - self.period + 1, batch.starts[batch.doc[at]]), 1)
         np.add.at(near, at + 1, -1)
         starts = batch.windows(self.window)
         starts = starts[np.cumsum(near)[starts] > 0]
-        w1, w2, ids = batch.rolling.of(starts, self.window), batch.rolling.of(starts, self.window, 1), batch.ids[batch.doc(starts)]
+        w1, w2, ids = batch.rolling.of(starts, self.window), batch.rolling.of(starts, self.window, 1) & ~_ONE, batch.ids[batch.doc[starts]]
         order = np.lexsort((w2, w1))  # stable: ids ascend within equal windows
         w1, w2, ids = w1[order], w2[order], ids[order]
-        first = np.ones(len(w1), bool)
-        first[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-        return pa.Table.from_batches(list(_to_buckets(key[0].as_py(), w1[first], [w1[first], w2[first], ids[first].astype(np.int64)], self.buckets)))
+        first = np.flatnonzero(_firsts(w1, w2))
+        many = (ids[first] != ids[np.append(first, len(w1))[1:] - 1]).astype(np.uint64)
+        return _to_buckets(key[0].as_py(), w1[first], [w1[first], w2[first] | many, ids[first].astype(np.int64)], self.buckets)
 
     def share_windows(self, key: tuple, got: pa.Table) -> pa.Table:
-        """Answers each batch with the windows that also start in a smaller id of another batch."""
+        """Answers each batch with its windows that start in several documents, and the least id of these."""
         blobs = [np.frombuffer(b, np.uint64).reshape(3, -1) for b in got["blob"].to_pylist()]
         w1, w2, ids = np.concatenate(blobs, axis=1)
-        ids = ids.view(np.int64)
+        ids, many, w2 = ids.view(np.int64), (w2 & _ONE).astype(bool), w2 & ~_ONE
         owner = np.repeat(got["batch"].to_numpy(), [b.shape[1] for b in blobs])
         order = np.lexsort((ids, w2, w1))
-        w1, w2, ids, owner = w1[order], w2[order], ids[order], owner[order]
-        first = np.ones(len(w1), bool)
-        first[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-        least = ids[first][np.cumsum(first) - 1]
-        keep = ids > least
-        return _answers(owner[keep], w1[keep])
+        w1, w2, ids, owner, many = w1[order], w2[order], ids[order], owner[order], many[order]
+        first = _firsts(w1, w2)
+        least = ids[first][np.cumsum(first) - 1] if len(ids) else ids
+        keep = (ids > least) | many
+        return _answers(owner[keep], w1[keep], w2[keep], least[keep].view(np.uint64))
 
     def removed(self, batch: _Batch, found: pa.Table) -> np.ndarray:
         """For each word of the batch: is it removed?"""
+        w1, w2, least = _columns(found["blob"], 3)
+        known = _Known(w1, w2)
         starts = batch.windows(self.window)
-        w1, ids = batch.rolling.of(starts, self.window), batch.ids[batch.doc(starts)]
-        order = np.argsort(w1, kind="stable")
-        first = np.ones(len(w1), bool)
-        first[1:] = w1[order][1:] != w1[order][:-1]
-        least = ids[order][first][np.cumsum(first) - 1]
-        gone = np.zeros(len(w1), bool)
-        gone[order] = ids[order] > least
-        gone |= np.isin(w1, _u64(found["blob"]))
+        h = batch.rolling.of(starts, self.window)
+        some = known.maybe(h)
+        starts, h = starts[some], h[some]
+        where = known.find(h, batch.rolling.of(starts, self.window, 1) & ~_ONE)
+        starts, where = starts[where >= 0], where[where >= 0]
+        starts = starts[batch.ids[batch.doc[starts]] > least.view(np.int64)[where]]
         cover = np.zeros(len(batch.hashes) + 1, np.int64)
-        cover[starts[gone]] += 1
-        ends = starts[gone] + self.window
-        cover[ends] -= 1
+        cover[starts] += 1
+        cover[starts + self.window] -= 1
         return np.cumsum(cover)[:-1] > 0
 
     def digest(self, key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         batch = _Batch(docs, self.id_col, self.text_col)
         gone = self.removed(batch, found)
-        lost, shas = [], []
-        for words, s, n in zip(batch.words, batch.starts, batch.sizes, strict=False):
-            out = gone[s : s + n]
-            lost.append(int(out.sum()))
-            kept = words if not lost[-1] else [w for w, x in zip(words, out.tolist(), strict=True) if not x]
-            shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.table({self.id_col: pa.array(batch.ids, pa.int64()), "n_words": pa.array(batch.sizes, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string())})
+        data, edges = batch.kept(gone)
+        view, edges = memoryview(data), edges.tolist()
+        shas = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({self.id_col: pa.array(batch.ids, pa.int64()), "n_words": pa.array(batch.sizes, pa.int64()), "n_removed": pa.array(batch.lost(gone), pa.int64()), "kept_sha256": pa.array(shas, pa.string())})
 
     def texts(self, key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         """What is left of each changed text, and the [start, end) spans of words removed; once for rows that are equal."""
         batch = _Batch(docs, self.id_col, self.text_col)
         gone = self.removed(batch, found)
-        ids, hashes, left, spans = [], [], [], []
+        data, edges = batch.kept(gone)
+        column, ids, hashes, left, spans = docs[self.text_col].combine_chunks(), [], [], [], []
         seen: set[tuple[int, bytes]] = set()
-        for text, words, s, n, i in zip(batch.texts, batch.words, batch.starts, batch.sizes, batch.ids.tolist(), strict=False):
-            out = gone[s : s + n]
-            if out.any() and (i, text) not in seen:
+        for d in np.flatnonzero(batch.lost(gone)).tolist():
+            i, text = int(batch.ids[d]), column[int(batch.order[d])].as_py().encode()
+            if (i, text) not in seen:
                 seen.add((i, text))
+                out = gone[batch.starts[d] : batch.starts[d + 1]]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
                 ids.append(i)
                 hashes.append(xxhash.xxh64_intdigest(text, 42))
-                left.append(b" ".join(w for w, x in zip(words, out.tolist(), strict=True) if not x).decode())
+                left.append(data[edges[d] : edges[d + 1]].tobytes().decode())
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         signed = pa.array(np.array(hashes, np.uint64).view(np.int64))
         return pa.table({self.id_col: pa.array(ids, pa.int64()), "text_hash": signed, "kept_text": pa.array(left, pa.string()), "removed_spans": pa.array(spans, kind)})
 
-
     def rows(self, key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         """The batch's rows with what is left of their texts and whether they changed; those that lost all words go."""
         batch = _Batch(docs, self.id_col, self.text_col)
         gone = self.removed(batch, found)
-        texts, changed, kept = docs[self.text_col].to_pylist(), np.zeros(docs.num_rows, bool), np.ones(docs.num_rows, bool)
-        for words, s, n, row in zip(batch.words, batch.starts, batch.sizes, batch.order.tolist(), strict=False):
-            out = gone[s : s + n]
-            if out.any():
-                texts[row] = b" ".join(w for w, x in zip(words, out.tolist(), strict=True) if not x).decode()
-                changed[row], kept[row] = True, not out.all()
+        data, edges = batch.kept(gone)
+        lost, changed, kept = batch.lost(gone), np.zeros(docs.num_rows, bool), np.ones(docs.num_rows, bool)
+        hit = np.flatnonzero(lost)
+        changed[batch.order[hit]], kept[batch.order[hit]] = True, lost[hit] < batch.sizes[hit]
+        new = [data[edges[d] : edges[d + 1]].tobytes().decode() for d in hit[np.argsort(batch.order[hit])].tolist()]
         at = docs.schema.get_field_index(self.text_col)
-        new = docs.set_column(at, docs.schema.field(at), pa.array(texts, docs.schema.field(at).type))
-        return new.drop_columns(["batch"]).append_column("changed", pa.array(changed)).filter(pa.array(kept))
+        old = docs[self.text_col].combine_chunks() if docs.num_rows else pa.array([], pa.string())
+        texts = pc.replace_with_mask(old, pa.array(changed), pa.array(new, old.type))
+        return docs.set_column(at, docs.schema.field(at), texts).drop_columns(["batch"]).append_column("changed", pa.array(changed)).filter(pa.array(kept))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).where(F.col(id_col).isNotNull())
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, window: int, period: int, last: str, schema) -> DataFrame:
@@ -250,7 +325,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, window: int, period: int,
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BATCH_BYTES))
-    steps = _Steps(id_col, text_col, window, period, batches)
+    steps = _Steps(id_col, text_col, window, period, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64(id_col), F.lit(batches))).groupBy("batch")
     to_bucket, to_batch = "bucket long, batch long, blob binary", "batch long, blob binary"
     finish = getattr(steps, last)
@@ -268,7 +343,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document's copies and never remove each other; rows without an id are left out; an empty table gives none.
     Only the two named columns are read, so other columns of any name do no harm.
     """
-    return _run(_named(docs, id_col, text_col), id_col, text_col, window, period, "digest", f"{id_col} long, n_words long, n_removed long, kept_sha256 string")
+    return _run(_named(docs, id_col, text_col), "id", "text", window, period, "digest", "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31) -> DataFrame:
@@ -277,7 +352,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Same rules as repeated_words; documents that lose nothing are not returned, and rows of equal id and text once.
     text_hash is xxhash64(text), so that id and hash find the row again.
     """
-    return _run(_named(docs, id_col, text_col), id_col, text_col, window, period, "texts", f"{id_col} long, text_hash long, kept_text string, removed_spans array<struct<start:long,end:long>>")
+    return _run(_named(docs, id_col, text_col), "id", "text", window, period, "texts", "id long, text_hash long, kept_text string, removed_spans array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31) -> DataFrame:
