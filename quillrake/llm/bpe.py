@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrake.llm.common import slices
+from quillrake.llm.common import slices, string_bytes
 
 _NONE = 1 << 62
 _FREE = np.int32(2**31 - 1)
@@ -216,14 +216,6 @@ def laid_out(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np
     return flat[np.repeat((np.cumsum(sizes) - sizes)[index] - last + many, many) + np.arange(last[-1] if len(last) else 0)], many
 
 
-def string_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of strings without nulls, one after another, and their sizes."""
-    strings = strings.cast(pa.large_binary())
-    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
-    return data[offsets[0] : offsets[-1]], np.diff(offsets)
-
-
 def core_and_marks(strings: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, pa.Array]:
     """Strings without their trailing marks; which marks each has (-1: none) of the distinct runs of marks."""
     cores = pc.utf8_rtrim(strings, MARKS)

@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrake.llm.bpe import PLAIN, STEP_BYTES, PairTable, core_and_marks, laid_out, merge_flat, per_group, spelled, string_bytes
-from quillrake.llm.common import slices
+from quillrake.llm.bpe import PLAIN, STEP_BYTES, PairTable, core_and_marks, laid_out, merge_flat, per_group, spelled
+from quillrake.llm.common import slices, string_bytes
 
 #: Costs of a cut in tokens of padding; tokens between cuts that no boundary offers; tokens of a segment; bytes of
 #: text whose words are looked up together.

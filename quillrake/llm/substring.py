@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from quillrake.llm.bpe import string_bytes
+from quillrake.llm.common import mix, string_bytes, word_hashes, word_places
 
 #: Perfect difference covers: each residue modulo the period is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -33,28 +33,6 @@ BATCH_BYTES, BUCKET_BYTES = 3_000_000, 64_000_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _ONE = np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte intervals, eight bytes at a time."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[: len(data) + 1], (len(data) + 1, 8), (1, 1))
-    masks = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
-    out, at, left, which = size.astype(np.uint64), start, size, np.arange(len(start))
-    while len(which):
-        chunk = eight[at].view(np.uint64)[:, 0] & masks[np.minimum(left, 8)]
-        out[which] = _mix((out[which] * _BASES[0]) ^ chunk)
-        on = left > 8
-        at, left, which = at[on] + 8, left[on] - 8, which[on]
-    return out
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -71,10 +49,10 @@ class _Rolling:
     def of(self, start: np.ndarray, length: int, which: int = 0) -> np.ndarray:
         if which not in self._sums:
             base = _BASES[which]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.words if which == 0 else _mix(self.words)) * _powers(base, self.n)[: self.n])])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.words if which == 0 else mix(self.words)) * _powers(base, self.n)[: self.n])])
             self._sums[which] = sums, _powers(np.uint64(pow(int(base), -1, 1 << 64)), self.n)
         sums, inverse = self._sums[which]
-        return _mix((sums[start + length] - sums[start]) * inverse[start])
+        return mix((sums[start + length] - sums[start]) * inverse[start])
 
 
 class _Known:
@@ -114,15 +92,7 @@ class _Batch:
         self.ids = ids[self.order]
         texts = docs[text_col].combine_chunks() if docs.num_rows else pa.array([], pa.string())
         self.data, length = string_bytes(pc.fill_null(texts.take(pa.array(self.order)), ""))
-        edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
-        word, some = ~_SPACE[self.data], length > 0
-        begins, closes = word.copy(), word.copy()
-        begins[1:] &= ~word[:-1]
-        closes[:-1] &= ~word[1:]
-        begins[edges[:-1][some]] = word[edges[:-1][some]]
-        closes[edges[1:][some] - 1] = word[edges[1:][some] - 1]
-        self.at, self.to = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-        self.starts = np.searchsorted(self.at, edges)
+        self.at, self.to, self.starts = word_places(self.data, length)
         self.sizes = np.diff(self.starts)
         self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         self.hashes = word_hashes(self.data, self.at, self.to - self.at)

@@ -124,12 +124,13 @@ def test_shards_lose_no_link():
     want = roots(nodes.tolist(), [(a, b) for a, b in close.tolist() if a < b])
     for leaves in (1, 4, 20):
         shards = {}
-        for leaf, at, lives in simhash.deal(simhash.grow(fps[rng.permutation(len(fps))[:300]], leaves), fps, 3):
+        tree = simhash.grow(simhash.Prints(fps[rng.permutation(len(fps))[:300]], None, 3, None), leaves)
+        for leaf, at, lives in simhash.deal(tree, simhash.Prints(fps, None, 3, None)):
             shards.setdefault(leaf, []).append((at, np.full(len(at), lives)))
         links = []
         for parts in shards.values():
             at, lives = (np.concatenate(x) for x in zip(*parts))
-            links += zip(*(x.tolist() for x in simhash.shard_links(fps[at], nodes[at], lives, 3)))
+            links += zip(*(x.tolist() for x in simhash.shard_links(simhash.Prints(fps[at], None, 3, None), nodes[at], lives)))
         assert roots(nodes.tolist(), links) == want
 
 
