@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, near duplicates by shingles, repeated passages, packing.
+"""The corpus pipeline: quality rules, near duplicates by SimHash, repeated passages, packing.
 
 Each stage works on all that the one before kept, written as Parquet and read again. All but the last return the
 columns of documents.
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrake.llm import packing, quality, shingles, substring
+from quillrake.llm import packing, quality, simhash, substring
 from quillrake.llm.common import staged, table
 
 
@@ -22,10 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that links of Jaccard 0.8 or more over five-word shingles join: that of the smallest id.
 
-    Rows without an id and repeated rows of one id link like others: of a group without any id one row stays, and of
-    rows that share the smallest id the one of the smallest hash of its columns.
+    SimHash fingerprints find the links and full sets decide them. Rows without an id and repeated rows of one id link
+    like others: of a group without any id one row stays, and of rows that share the smallest id the one of the
+    smallest hash of its columns.
     """
-    return shingles.one_each(docs, size=5, least="0.8")
+    return simhash.one_each(docs, size=5, least="0.8")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("packing", packed)]
 
-#: The shingles and the packing have no SQL form; the stages are tested against brute force.
+#: The near duplicates and the packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
