@@ -41,10 +41,6 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), *[x for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ([F.lit("-")] if i > 1 else []) + [F.substring(h, i, n)]])
 
 
-def random_id(prefix: str) -> Column:
-    return F.concat(F.lit(f"{prefix}-"), F.uuid())
-
-
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 
 
@@ -73,6 +69,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def token_info(text: Column) -> Column:
+    """A struct of characters, tokens and characters per token (to 0.01; 0 without tokens)."""
+    n, chars = token_count(text), F.length(F.coalesce(text, F.lit("")))
+    return F.struct(chars.alias("characters"), n.alias("tokens"), F.when(n > 0, F.round(chars / n, 2)).otherwise(0.0).alias("characters_per_token"))
+
+
+def token_codes(text: Column) -> Column:
+    """Tokens as 64-bit numbers, for counters and sketches that want numbers."""
+    return F.transform(tokens(text), lambda t: F.xxhash64(t))
+
+
+def joined(pieces: Column) -> Column:
+    """The text of an array of tokens, joined by one space: its tokens are these again."""
+    return F.array_join(pieces, " ")
+
+
 def fits(text: Column, most: int) -> Column:
     return token_count(text) <= most
 

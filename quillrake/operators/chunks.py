@@ -168,7 +168,8 @@ def parents(placed: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def children(placed: DataFrame, parent_chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Child chunks of parents and of flat blocks in document order, with sibling links over the whole document.
 
-    Tables stay whole; texts within the target are one chunk; others are packed by sentences.
+    Tables stay whole, unless force_split_atomic is set and they have over max_atomic_tokens; texts within the target
+    are one chunk; others are packed by sentences.
     """
     flat = _moded(placed, settings).where("mode = 'flat' and trim(text) <> ''").select(
         "document_id", "section_no", F.col("block_idx").alias("seq"), F.lit(None).cast("string").alias("parent_id"), "text", "tokens", "language", "block_type", F.array().cast("array<string>").alias("section_path"), F.col("page_number").cast("int").alias("page_number")
@@ -177,7 +178,7 @@ def children(placed: DataFrame, parent_chunks: DataFrame, settings: Settings = S
         "document_id", "section_no", F.col("part").alias("seq"), "parent_id", "text", F.col("token_count").alias("tokens"), "language", F.lit("paragraph").alias("block_type"), "section_path", F.col("page_range.start").cast("int").alias("page_number")
     )
     texts = flat.unionByName(under)
-    whole = (F.col("block_type") == "table") | (F.col("tokens") <= settings.target_tokens)
+    whole = (is_atomic(F.col("block_type")) & ~must_split(F.col("block_type"), F.col("tokens"), settings)) | (F.col("tokens") <= settings.target_tokens)
     single = F.array(F.struct("text", F.col("tokens").cast("int").alias("token_count")))
     packed = packer(settings)(F.when(whole, "").otherwise(F.col("text")), F.coalesce("language", F.lit("en")))
     cut = texts.withColumn("chunks", F.when(whole, single).otherwise(packed)).drop("text", "tokens").select("*", F.posexplode("chunks").alias("position_in_parent", "c")).drop("chunks")
@@ -203,9 +204,16 @@ def chunking_stats(child_chunks: DataFrame, key: str = "document_id") -> DataFra
     return child_chunks.groupBy(key).agg(F.count("*").alias("n_children"), F.round(F.avg("token_count"), 1).alias("avg_tokens"), F.count_if(F.col("block_type").isin("table", "list")).alias("n_atomic"))
 
 
-def dominant_type(kind: Column, order: Column) -> tuple[Column, Column]:
-    """Aggregates for the most frequent block type, the first seen among equals: group by type, then max_by."""
-    return F.count(kind), F.min(order)
+def dominant_type(blocks: DataFrame, key: str = "document_id", kind: str = "block_type", order: str = "block_idx") -> DataFrame:
+    """(key, block_type): the most frequent type of each group's blocks, the one seen first among equals."""
+    counted = blocks.groupBy(key, kind).agg(F.count("*").alias("__n"), F.min(order).alias("__first"))
+    return counted.groupBy(key).agg(F.max_by(kind, F.struct("__n", -F.col("__first"))).alias(kind))
+
+
+def mark_atomic(blocks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """blocks (block_type, text) with atomic and split_anyway: is it one piece, and is it to be cut all the same?"""
+    kind = F.col("block_type")
+    return blocks.withColumns({"atomic": is_atomic(kind), "split_anyway": must_split(kind, token_count(F.col("text")), settings)})
 
 
 def is_atomic(kind: Column) -> Column:
@@ -213,4 +221,5 @@ def is_atomic(kind: Column) -> Column:
 
 
 def must_split(kind: Column, tokens: Column, settings: Settings = Settings()) -> Column:
+    """Is an atomic block so long that it is cut all the same?"""
     return F.lit(settings.force_split_atomic) & is_atomic(kind) & (tokens > settings.max_atomic_tokens)

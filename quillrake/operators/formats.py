@@ -15,7 +15,7 @@ MAGIC = (("%PDF", "pdf"), ("PK\x03\x04", "docx"), ("<!DOCTYPE html", "html"), ("
 MARKDOWN_SIGNS = ("# ", "## ", "### ", "* ", "- ", "```", "[", "**", "__")
 
 
-def _lookup(table: dict[str, str], value: Column) -> Column:
+def lookup(table: dict[str, str], value: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[value]
 
 
@@ -28,7 +28,7 @@ def filename(path: Column) -> Column:
 
 
 def mime_type(ext: Column) -> Column:
-    return F.coalesce(_lookup(MIME, ext), F.lit("application/octet-stream"))
+    return F.coalesce(lookup(MIME, ext), F.lit("application/octet-stream"))
 
 
 def is_supported(ext: Column) -> Column:
@@ -43,7 +43,7 @@ def mime_expected(ext: Column, mime: Column) -> Column:
 
 def format_of(mime: Column, ext: Column, content: Column | None = None) -> Column:
     """By type (plain text says nothing), by extension, by content."""
-    return F.coalesce(_lookup(BY_MIME, mime), _lookup(BY_EXTENSION, ext), *([] if content is None else [sniff(content)]))
+    return F.coalesce(lookup(BY_MIME, mime), lookup(BY_EXTENSION, ext), *([] if content is None else [sniff(content)]))
 
 
 def sniff(content: Column) -> Column:

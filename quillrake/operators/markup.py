@@ -276,10 +276,11 @@ def pdf(content: bytes, least: int = 10) -> list[dict]:
 PARSERS = {"markdown": markdown, "html": html, "docx": docx, "pdf": pdf}
 
 
-def blocks(files: DataFrame, kind: str, key: str = "document_id", content: str = "content", fallback: bool = True) -> DataFrame:
+def blocks(files: DataFrame, kind: str, key: str = "document_id", content: str = "content", fallback: bool = True, parse=None) -> DataFrame:
     """(key, block_idx, raw_text, block_type, heading_level, page_number, source_offset, metadata, error) of files of one
-    format; content is text for markdown and html, else binary. A file without blocks is one row with an error."""
-    parse = PARSERS[kind]
+    format; content is text for markdown and html, else binary; parse: a function of it in place of the format's own. A
+    file without blocks is one row with an error."""
+    parse = parse or PARSERS[kind]
 
     @F.pandas_udf(T.StructType([T.StructField("blocks", T.ArrayType(BLOCK)), T.StructField("error", T.StringType())]))
     def parsed(source: pd.Series) -> pd.DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillrake.functions.normalize import strip
 from quillrake.functions.text import is_title, is_upper
 
-#: Starts of list lines: bullets, numbers, letters, Arabic digits.
+# Starts of list lines (bullets, numbers, letters, Arabic digits), of numbered headings, and marks at a
+# sentence's end.
 ITEM = r"(?U)\A\s*(?:[-*\x{2022}]|\d+[.)]|[a-zA-Z][.)]|[\x{0660}-\x{0669}]+[.)])\s+"
 NUMBERED = r"(?iU)\A(?:\d+\.?\s+|chapter\s+\d+|section\s+\d+)"
 SENTENCE_ENDS = r"[.,;:\x{061F}\x{060C}\x{061B}]\z"
@@ -68,3 +69,9 @@ def page_heading(text: Column) -> Column:
 def page_heading_level(text: Column) -> Column:
     level = F.when(text.rlike(r"(?iU)\A(?:chapter|part)\s+") | is_upper(text), 1)
     return level.when(text.rlike(r"(?U)\A\d+\.?\s+"), 2).when(text.rlike(r"(?U)\A\d+\.\d+\.?\s+"), 3).when(text.rlike(r"(?U)\A\d+\.\d+\.\d+\.?\s+"), 4).otherwise(2)
+
+
+def typed_pages(blocks: DataFrame) -> DataFrame:
+    """blocks of pages (raw_text) with block_type and heading_level by their text."""
+    typed = blocks.withColumn("block_type", F.when(F.col("raw_text").isNotNull(), page_block_type(F.col("raw_text"))))
+    return typed.withColumn("heading_level", F.when(F.col("block_type") == "heading", page_heading_level(strip(F.col("raw_text")))).cast("int"))

@@ -239,7 +239,7 @@ def headed(spark, sf_dir) -> DataFrame:
     return d.select(F.col("source").alias("document_id"), F.col("doc_id").alias("block_idx"), "text", F.when(heading, "heading").otherwise("paragraph").alias("block_type"), F.when(heading, (F.col("doc_id") / 3 % 4 + 1).cast("int")).alias("heading_level"))
 
 
-HEADED_SQL = "headed AS (SELECT source AS document_id, doc_id AS block_idx, substr(text, 1, 120) AS text, CASE WHEN doc_id % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS block_type, CASE WHEN doc_id % 3 = 0 THEN ((doc_id // 3) % 4 + 1)::INT END AS heading_level FROM documents)"
+HEADED_SQL = "headed AS (SELECT source AS document_id, doc_id AS block_idx, text, CASE WHEN doc_id % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS block_type, CASE WHEN doc_id % 3 = 0 THEN ((doc_id // 3) % 4 + 1)::INT END AS heading_level FROM documents)"
 TITLE_SQL = rf"""CASE WHEN {sql_strip(rf"regexp_replace({sql_strip('text')}, '^#+', '')")} = '' THEN 'Untitled Section' WHEN len({sql_strip(rf"regexp_replace({sql_strip('text')}, '^#+', '')")}) > 100 THEN substr({sql_strip(rf"regexp_replace({sql_strip('text')}, '^#+', '')")}, 1, 100) || '...' ELSE {sql_strip(rf"regexp_replace({sql_strip('text')}, '^#+', '')")} END"""
 #: A heading is open at a block if no later one up to there has its level or a smaller one.
 PATH_SQL = f"""WITH {HEADED_SQL}, n AS (SELECT *, count(*) FILTER (block_type = 'heading') OVER (PARTITION BY document_id ORDER BY block_idx) AS section_no FROM headed),

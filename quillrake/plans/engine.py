@@ -11,23 +11,12 @@ from quillrake import shipping
 from quillrake.config import Settings
 from quillrake.functions import language, normalize
 from quillrake.functions.normalize import strip
-from quillrake.operators import chunks, context, embed, formats, graph, markup, plain_text, search, stats, structure
+from quillrake.operators import checks, chunks, context, embed, graph, registry, search, stats, structure
+from quillrake.plans.observe import Run
 from quillrake.sources import files as sources
 from quillrake.sources.store import Store
 
 
-def extracted(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Blocks of admitted files of all formats, and an error for each file that gave none."""
-    ready = files.where("status = 'pending'").select("document_id", "format", "content")
-    text = ready.withColumn("content", formats.decoded(F.col("content")))
-    plain = plain_text.blocks(text.where("format = 'txt'"), text="content").select("*", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("error"))
-    parts = [plain]
-    for kind in markup.PARSERS:
-        source = (text if kind in ("markdown", "html") else ready).where(F.col("format") == kind)
-        parts.append(markup.blocks(source, kind, fallback=settings.partial_extraction).drop("metadata").select(plain.columns))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def placed(blocks: DataFrame, chain: normalize.Chain = normalize.DEFAULT) -> DataFrame:
     """Blocks normalised (blank ones dropped), tagged with languages and placed in sections."""
     clean = blocks.where("raw_text is not null").withColumn("text", chain(F.col("raw_text"))).where(strip(F.col("text")) != "")
@@ -36,64 +25,95 @@ def placed(blocks: DataFrame, chain: normalize.Chain = normalize.DEFAULT) -> Dat
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), embedder: embed.Embedder | None = None, chain: normalize.Chain = normalize.DEFAULT):
+    #: Paths that reprocess_all() lists for one job.
+    paths_per_job = 10_000
+
+    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), embedder: embed.Embedder | None = None, chain: normalize.Chain = normalize.DEFAULT, extractors: registry.Registry = registry.DEFAULT):
         if problems := settings.problems():
             raise ValueError("; ".join(problems))
         shipping.ensure(spark)
-        self.spark, self.settings, self.chain = spark, settings, chain
+        self.spark, self.settings, self.chain, self.extractors, self.run = spark, settings, chain, extractors, Run()
         self.embedder = embedder or embed.HashedWords(settings.embedding_dimension)
-        self.store = Store(spark, path)
+        self.store = Store(spark, path, dimension=self.embedder.dimension)
 
     # ---- ingestion
 
     def ingest(self, path: str | list[str], recursive: bool = False, metadata: dict[str, str] | None = None, skip_known: bool = False) -> DataFrame:
         """Ingests a file, a list of files or a folder as one job; the rows of documents it made."""
-        return self.ingest_files(sources.scan(self.spark, path, recursive), metadata, skip_known)
+        return self.ingest_files(sources.scan(self.spark, path, recursive, self.settings, self.extractors.extensions()), metadata, skip_known)
 
-    def ingest_files(self, files: DataFrame, metadata: dict[str, str] | None = None, skip_known: bool = False) -> DataFrame:
-        admitted = sources.admitted(files, self.settings)
+    def ingest_files(self, files: DataFrame, metadata: dict[str, str] | None = None, skip_known: bool = False, replaces: DataFrame | None = None) -> DataFrame:
+        """Ingests files (file_path, size_bytes, content); the rows of documents. `run` holds the steps' times and row counts.
+
+        Rows that break a rule of their kind are left out and told as a warning of their document. replaces: documents
+        (document_id) whose rows all go in the same commit.
+        """
+        run = self.run = Run()
+        admitted = sources.admitted(files, self.settings, self.extractors.extensions())
         if skip_known:
             known = self.store.load("documents", status="completed").select("file_hash").distinct()
             admitted = admitted.join(known, "file_hash", "left_anti")
         admitted = admitted.persist()
-        raw = extracted(admitted, self.settings).persist()
+        raw = self.extractors.extract(admitted, self.settings).persist()
         blocks = placed(raw, self.chain).persist()
         parents = chunks.parents(blocks, self.settings).persist()
         children = chunks.children(blocks, parents, self.settings).persist()
         vectors = embed.embed(children.select("chunk_id", "document_id", "chunk_idx", "language", "block_type", "text"), self.embedder, self.settings.embedding_batch).where("embedding is not null").persist()
-        edges = graph.as_edges(graph.semantic_edges(vectors, self.settings.similarity_threshold))
-        documents = self._documents(admitted, raw, blocks, parents, children, edges, metadata)
-        held = parents.join(chunks.child_ids(children), "parent_id", "left")
+        edges = graph.as_edges(graph.semantic_edges(vectors, self.settings.similarity_threshold)).persist()
+        rules = {"parents": checks.parents(parents), "children": checks.children(children), "edges": checks.edges(edges)}
+        documents = self._documents(admitted, raw, blocks, parents, children, edges, metadata, rules)
+        fine = {name: df.where(F.size("violations") == 0).drop("violations") for name, df in rules.items()}
+        held = fine["parents"].join(chunks.child_ids(fine["children"]), "parent_id", "left")
+        tables = {"edges": fine["edges"], "vectors": vectors, "children": fine["children"], "parents": held, "documents": documents}
         try:
-            self.store.commit({"edges": edges, "vectors": vectors, "children": children, "parents": held, "documents": documents})
+            for name, df in (("extract", raw), ("place", blocks), ("chunk", children), ("embed", vectors), ("link", edges)):
+                with run.stage(name):
+                    run.count(name, df.count())  # fills what the commits then read
+            with run.stage("commit"):
+                if replaces is None:
+                    self.store.commit(tables)
+                else:
+                    self.store.replace_documents(tables, replaces)
         finally:
-            for df in (vectors, children, parents, blocks, raw, admitted):
+            for df in (edges, vectors, children, parents, blocks, raw, admitted):
                 df.unpersist()
         return self.store.read("documents")
 
-    def _documents(self, admitted, raw, blocks, parents, children, edges, metadata) -> DataFrame:
+    def _documents(self, admitted, raw, blocks, parents, children, edges, metadata, rules) -> DataFrame:
         count = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
         share = language.distribution(blocks).select("document_id", F.create_map(*[x for k in ("ar", "en", "mixed") for x in (F.lit(k), F.col(k))]).alias("language_distribution"), "primary_language")
         total = chunks.totals(blocks, self.settings).select("document_id", "total_tokens", "hierarchy_depth")
         why = raw.groupBy("document_id").agg(F.max("error").alias("why"))
         own = {f"{k}": F.lit(v) for k, v in (metadata or {}).items()}
-        made = admitted.drop("content")
-        for df in (total, share, why, count(parents, "parent_count"), count(children, "child_count"), count(edges, "edge_count")):
+        broken = reduce(DataFrame.unionByName, (df.select("document_id", F.explode("violations").alias("violation")) for df in rules.values()))
+        broken = broken.groupBy("document_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("left out: "), "violation"))).alias("broken"))
+        pages = raw.groupBy("document_id").agg(F.max("page_number").alias("total_pages"))
+        made = admitted.drop("content").join(sources.copies(admitted).drop("file_hash"), "file_path", "left")
+        for df in (broken, pages, total, share, why, count(parents, "parent_count"), count(children, "child_count"), count(edges, "edge_count")):
             made = made.join(df, "document_id", "left")
         failed = F.coalesce("error_message", F.when(F.coalesce("child_count", F.lit(0)) == 0, F.coalesce("why", F.lit("no content"))))
-        warnings = F.filter(F.array(F.when(F.col("is_duplicate"), "duplicate content"), F.when(~F.col("mime_expected"), "unexpected type")), lambda x: x.isNotNull())
+        warnings = F.concat(F.filter(F.array(F.when(F.col("is_duplicate"), "duplicate content"), F.when(~F.col("mime_expected"), "unexpected type")), lambda x: x.isNotNull()), F.coalesce("broken", F.array().cast("array<string>")))
         return made.select(
             "document_id", "file_path", "file_hash", "format", F.when(failed.isNull(), "completed").otherwise("failed").alias("status"), "total_tokens", "hierarchy_depth", "primary_language", "language_distribution",
             *(F.coalesce(c, F.lit(0)).alias(c) for c in ("parent_count", "child_count", "edge_count")), failed.alias("error_message"), warnings.alias("warnings"),
-            F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)]).cast("map<string,string>").alias("metadata"), F.current_timestamp().alias("created_at"),
+            F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)]).cast("map<string,string>").alias("metadata"), F.current_timestamp().alias("created_at"), "total_pages",
         )
 
     def reprocess_all(self) -> DataFrame:
-        """Ingests all documents again from their paths, in place of what is stored."""
-        rows = self.store.read("documents").select("document_id", "file_path").collect()  # one path a file, as the reader needs them
-        if rows:
-            self.store.delete_documents([r.document_id for r in rows])
-            self.ingest([r.file_path for r in rows])
+        """Ingests all documents again from their paths, in place of what is stored.
+
+        What is stored goes in the commit that brings the new rows, so files that cannot be read lose nothing. Documents
+        whose files are gone stay as they are. Paths are read from the table in parts, each a job of its own.
+        """
+        old = self.store.read("documents").select("document_id", "file_path")
+        part = F.pmod(F.xxhash64("file_path"), F.lit(max(1, -(-old.count() // self.paths_per_job))))
+        for n in sorted(r.part for r in old.select(part.alias("part")).distinct().collect()):
+            mine = old.where(part == n)
+            paths = [r.file_path for r in mine.select("file_path").distinct().collect() if sources.exists(self.spark, r.file_path)]  # of one part
+            if paths:
+                files = sources.scan(self.spark, paths, settings=self.settings)
+                read = mine.where(F.col("file_path").isin(paths)).select("document_id")
+                self.ingest_files(files, replaces=read)
         return self.store.read("documents")
 
     def delete(self, document_id: str) -> dict[str, int]:
@@ -123,6 +143,13 @@ class Engine:
         ids = self.spark.createDataFrame([(i,) for i in chunk_ids], "chunk_id string")
         return context.expand(ids, self.store.read("children"), self.store.read("parents"), self.store.read("edges"), **options)
 
+    def expand_many(self, chunk_ids: list[str], deduplicate: bool = True, **options) -> DataFrame:
+        """expand() of chunks in the order given (rank), without those that one before them shows already as a sibling."""
+        links = {r.chunk_id: (r.prev_chunk_id, r.next_chunk_id) for r in self.store.get_many("children", chunk_ids, "chunk_id", "prev_chunk_id", "next_chunk_id").collect()}  # of the ids asked for
+        ordered = context.deduplicated(chunk_ids, links if options.get("siblings", True) else {}) if deduplicate else chunk_ids
+        ranks = self.spark.createDataFrame([(i, n) for n, i in enumerate(ordered)], "chunk_id string, rank int")
+        return self.expand(list(dict.fromkeys(ordered)), **options).join(ranks, "chunk_id").orderBy("rank")
+
     def retrieval_context(self, query: str, k: int = 5, max_tokens: int | None = None) -> str:
         row = context.retrieval_context(self._hits(query, k, None), max_tokens).first()
         return row.context if row else ""

@@ -20,6 +20,7 @@ class Run:
 
     stages: list[tuple[str, float, str | None]] = field(default_factory=list)
     counts: dict[str, Observation] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)
 
     @contextmanager
     def stage(self, name: str) -> Iterator[None]:
@@ -38,8 +39,12 @@ class Run:
         self.counts[name] = Observation(name)
         return df.observe(self.counts[name], F.count(F.lit(1)).alias("rows"))
 
+    def count(self, name: str, n: int) -> None:
+        """A number of rows that is known already."""
+        self.known[name] = n
+
     def rows(self, name: str) -> int:
-        return self.counts[name].get["rows"]
+        return self.known[name] if name in self.known else self.counts[name].get["rows"]
 
     @property
     def seconds(self) -> float:

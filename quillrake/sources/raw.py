@@ -42,6 +42,14 @@ class RawStore(Store):
         row = self._of(document_id, "").drop("content").first()
         return row and row.asDict() | {"size_kb": round(row.size_bytes / 1024, 3), "size_mb": round(row.size_bytes / 1024**2, 3)}
 
+    def path(self, document_id: str, ext: str = "") -> str | None:
+        """The path that a document's file came from; None if it is not stored."""
+        row = self._of(document_id, ext).select("file_path").first()
+        return row and row.file_path
+
+    def ids(self) -> DataFrame:
+        return self.document_ids("files")
+
     def listed(self) -> DataFrame:
         return self.read("files").drop("content")
 

@@ -41,6 +41,7 @@ def folder(tmp_path_factory):
 def engine(spark, folder, tmp_path_factory):
     made = Engine(spark, str(tmp_path_factory.mktemp("store")), Settings(similarity_threshold=0.5))
     made.ingest(str(folder))
+    made.ingest(str(folder / "odd.xyz"))  # a folder's files of other kinds are passed over, a named one fails
     return made
 
 
@@ -99,6 +100,61 @@ def test_command_line(engine, spark, capsys):
     assert cli.main(["--data", path, "info", "nothing"], spark) == 1
 
 
+def test_expand_many_and_times(engine):
+    doc = next(r for r in engine.documents().collect() if r.file_path.endswith("long.md"))
+    ids = [k.chunk_id for k in engine.children(doc.document_id).collect()][:4]
+    assert [r.chunk_id for r in engine.expand_many([ids[1], ids[0], ids[2], ids[3]]).collect()] == [ids[1], ids[3]]
+    assert [r.chunk_id for r in engine.expand_many([ids[1], ids[0]], deduplicate=False).collect()] == [ids[1], ids[0]]
+    assert [s[0] for s in engine.run.stages] == ["extract", "place", "chunk", "embed", "link", "commit"] and engine.run.rows("chunk") >= 0
+
+
+def test_reprocess(engine, folder):
+    """All documents are made anew in one commit; those whose files are gone stay."""
+    before = {r.document_id: r.updated_at for r in engine.documents().collect()}
+    held = engine.documents()
+    (folder / "page.html").rename(folder / "page.moved")
+    try:
+        after = {r.document_id: r.updated_at for r in engine.reprocess_all().collect()}
+    finally:
+        (folder / "page.moved").rename(folder / "page.html")
+    assert set(after) == set(before) and held.count() == len(before)
+    assert {r.file_path.rsplit("/", 1)[1] for r in engine.documents().collect() if after[r.document_id] == before[r.document_id]} == {"page.html"}
+    assert engine.children(next(i for i in before)).count() >= 0
+
+
+def test_registry(spark, tmp_path):
+    """A format of one's own: lines that start with a star are headings."""
+    from quillrake.operators import markup, registry
+
+    mine = registry.parser("stars", ("star",), lambda text: [markup._block(line.lstrip("*"), "heading" if line[0] == "*" else "paragraph", 0, 1 if line[0] == "*" else None, 2) for line in text.split("\n") if line], text=True)
+    extractors = registry.DEFAULT.register(mine)
+    assert extractors.of("/x/A.STAR").format == "stars" and extractors.of("x.zip") is None and "stars" in extractors.available()
+    (tmp_path / "a.STAR").write_text("*Title\nsome words of a paragraph")
+    made = Engine(spark, str(tmp_path / "store"), extractors=extractors)
+    row = made.ingest(str(tmp_path / "a.STAR")).first()
+    assert (row.status, row.format, row.total_pages, row.child_count) == ("completed", "stars", 2, 2)
+
+
+def test_atomic_blocks(spark):
+    from quillrake.operators import chunks
+
+    table = " ".join(f"cell {i}." for i in range(400))
+    blocks = spark.createDataFrame([("d", 0, table, "table", "en", 1, 0, [""], "")], "document_id string, block_idx int, text string, block_type string, language string, page_number int, section_no int, section_path array<string>, x string")
+    none = chunks.parents(blocks).where("false")
+    kids = lambda s: chunks.children(blocks, none, s).count()
+    assert kids(Settings()) == 1 and kids(Settings(force_split_atomic=True, max_atomic_tokens=5_000)) == 1 and kids(Settings(force_split_atomic=True, max_atomic_tokens=100)) > 5
+    marked = chunks.mark_atomic(blocks, Settings(force_split_atomic=True, max_atomic_tokens=100)).first()
+    assert marked.atomic and marked.split_anyway
+
+
+def test_pages_are_typed(spark):
+    from quillrake.operators import plain_text
+
+    rows = ["CHAPTER 1", "a | b\nc | d", "- one\n- two", "2. Results", "2.1 More results", "Some words that end here.", "x\ty\nz\tw\nq\tr", None]
+    typed = plain_text.typed_pages(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, raw_text string")).orderBy("i").collect()
+    assert [(r.block_type, r.heading_level) for r in typed] == [("heading", 1), ("table", None), ("list", None), ("heading", 2), ("heading", 3), ("paragraph", None), ("table", None), (None, None)]
+
+
 def test_settings():
     assert Settings().problems() == []
     assert len(Settings(min_tokens=600, similarity_threshold=2).problems()) == 2
