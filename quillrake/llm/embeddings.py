@@ -2,9 +2,12 @@
 
 Vectors become unit vectors; cosine at least t is distance at most epsilon = sqrt(2 - 2 t). They are rotated to the
 principal axes of a bounded sample and sorted by their grid cells of side epsilon on the leading axes. The sequence is
-cut into intervals; two intervals whose bounding boxes on the leading axes lie over epsilon apart hold no link. The
-others meet in one task per pair of intervals, which splits both sequences and joins the halves recursively, again
-skipping boxes that are provably distant, until blocks are small enough for a matrix product.
+cut into intervals; two intervals whose bounding boxes lie over epsilon apart hold no link. The others meet in one task
+per pair of intervals, to which a vector goes only if it lies within epsilon of the other interval's box. A task splits
+both sequences and joins the halves recursively, again skipping boxes that are provably distant, until blocks are small.
+Boxes span the leading axes and the length of what lies beyond them, whose difference bounds the distance there. In a
+block a product of the leading parts alone bounds each cosine (what lies beyond adds at most the product of its lengths);
+only pairs that this bound leaves are computed in full.
 
 Equal vectors are one entry with a weight, so copies cost nothing; a task returns link counts per entry and a spanning
 forest, never pairs.
@@ -23,8 +26,9 @@ from quillrake.llm.common import staged
 from quillrake.llm.components import components
 from quillrake.llm.simhash import Forest
 
-#: Vectors of the sample that gives the axes and interval bounds; leading axes; side of a block; intervals at most.
-SAMPLE, AXES, BLOCK, INTERVALS = 8_192, 8, 512, 1_024
+#: Vectors of the sample that gives the axes and interval bounds; leading axes of the grid and of the bound in blocks;
+#: side of a block; intervals at most.
+SAMPLE, AXES, BOUND_AXES, BLOCK, INTERVALS = 8_192, 8, 16, 512, 1_024
 #: Cosines this near the threshold are computed again, component by component.
 EDGE = 1e-9
 
@@ -47,23 +51,49 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
-def _far(lo_a, hi_a, lo_b, hi_b, epsilon: float) -> bool:
+def _gap(lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
+    """The squared distance of boxes, over the last axis."""
     gap = np.maximum(0, np.maximum(lo_b - hi_a, lo_a - hi_b))
-    return float((gap * gap).sum()) > epsilon * epsilon * (1 + 1e-9)
+    return (gap * gap).sum(axis=-1)
+
+
+def _slack(epsilon: float) -> float:
+    """What a squared distance must exceed to be surely beyond epsilon, rounding included."""
+    return epsilon * epsilon * (1 + 1e-9) + 1e-12
+
+
+class Frame:
+    """Principal axes of a sample: leading coordinates of unit vectors, and the length of the rest."""
+
+    def __init__(self, sample: np.ndarray):
+        mean = sample.mean(axis=0)
+        _, axes = np.linalg.eigh(sample.T @ sample / len(sample) - np.outer(mean, mean))
+        self.axes = np.ascontiguousarray(axes[:, ::-1])
+
+    def lead(self, units: np.ndarray, many: int) -> np.ndarray:
+        """(n, many + 1): the leading coordinates, and the length of what lies beyond them."""
+        lead = units @ self.axes[:, :many]
+        return np.column_stack([lead, np.sqrt(np.maximum(0, 1 - (lead * lead).sum(axis=1)))])
 
 
 class _Join:
-    def __init__(self, raw: np.ndarray, units: np.ndarray, lead: np.ndarray, weights: np.ndarray, cosine: float):
+    """pairs: met by blocks in all; ruled_out: of these by boxes; bounded: by the leading parts; looked: computed in full."""
+
+    def __init__(self, raw: np.ndarray, units: np.ndarray, lead: np.ndarray, wide: np.ndarray, weights: np.ndarray, cosine: float):
         self.raw, self.units, self.lead, self.weights, self.cosine = raw, units, lead, weights, cosine
-        self.epsilon = float(np.sqrt(2 - 2 * cosine))
+        self.wide = wide.astype(np.float32)  # a product of rows is that of the leading parts plus that of the lengths beyond
+        self.slack = _slack(float(np.sqrt(2 - 2 * cosine)))
         self.counts, self.forest = np.zeros(len(units), np.int64), Forest(len(units))
+        self.pairs = self.ruled_out = self.looked = 0
 
     def run(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
         """Joins two sequences in grid order; same: they are one sequence."""
         if not len(a) or not len(b):
             return
         la, lb = self.lead[a], self.lead[b]
-        if not same and _far(la.min(axis=0), la.max(axis=0), lb.min(axis=0), lb.max(axis=0), self.epsilon):
+        if not same and _gap(la.min(axis=0), la.max(axis=0), lb.min(axis=0), lb.max(axis=0)) > self.slack:
+            self.pairs += len(a) * len(b)
+            self.ruled_out += len(a) * len(b)
             return
         if len(a) <= BLOCK and len(b) <= BLOCK:
             self.block(a, b, same)
@@ -82,19 +112,26 @@ class _Join:
             self.run(a, b[h:], False)
 
     def block(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
-        cos = self.units[a] @ self.units[b].T
-        hit = cos >= self.cosine
-        for i, j in zip(*np.nonzero(np.abs(cos - self.cosine) <= EDGE), strict=True):
-            x, y = self.raw[a[i]], self.raw[b[j]]
-            hit[i, j] = (x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())) >= self.cosine
+        self.pairs += len(a) * len(b)
+        near = np.flatnonzero((self.wide[a] @ self.wide[b].T).ravel() >= np.float32(self.cosine - 1e-4))  # 32-bit rounding stays far below
+        if not len(near):
+            return
+        i, j = near // len(b), near % len(b)
         if same:
-            np.fill_diagonal(hit, False)
-        if hit.any():
-            self.counts[a] += hit @ self.weights[b]
-            if not same:
-                self.counts[b] += hit.T @ self.weights[a]
-            i, j = np.nonzero(hit)
-            self.forest.link(a[i], b[j])
+            i, j = i[i < j], j[i < j]
+        self.looked += len(i)
+        if len(i) * 8 > len(a) * len(b):
+            cos = (self.units[a] @ self.units[b].T)[i, j]
+        else:
+            cos = np.einsum("ij,ij->i", self.units[a[i]], self.units[b[j]])
+        hit = cos >= self.cosine
+        for k in np.flatnonzero(np.abs(cos - self.cosine) <= EDGE):
+            x, y = self.raw[a[i[k]]], self.raw[b[j[k]]]
+            hit[k] = (x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())) >= self.cosine
+        i, j = a[i[hit]], b[j[hit]]
+        np.add.at(self.counts, i, self.weights[j])
+        np.add.at(self.counts, j, self.weights[i])
+        self.forest.link(i, j)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -129,44 +166,51 @@ def _links(distinct: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
     spark, epsilon = distinct.sparkSession, float(np.sqrt(2 - 2 * cosine))
     sample = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow()
     units = _units(_raw(sample["v"].combine_chunks(), dim))
-    _, axes = np.linalg.eigh(units.T @ units / len(units) - np.outer(units.mean(axis=0), units.mean(axis=0)))
-    axes = np.ascontiguousarray(axes[:, ::-1][:, : min(AXES, dim)])
+    frame, axes = Frame(units), min(AXES, dim)
     # Interval bounds: quantiles of the sample in grid order; within a cell the order goes on along the first axis.
     many = int(np.clip(np.sqrt(n / 800), 1, INTERVALS))
-    lead = units @ axes
+    lead = frame.lead(units, axes)[:, :-1]
     order = np.lexsort((lead[:, 0], cells(lead, epsilon)))
     at = order[[len(order) * i // many for i in range(1, many)]]
     bounds = list(zip(cells(lead, epsilon)[at].tolist(), lead[at, 0].tolist(), strict=True))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lead = _units(_raw(batch.column(0), dim)) @ axes
-            code = cells(lead, epsilon)
+            lead = frame.lead(_units(_raw(batch.column(0), dim)), axes)
+            code = cells(lead[:, :-1], epsilon)
             interval = np.zeros(batch.num_rows, np.int64)
             for c, x in bounds:
                 interval += (code > c) | ((code == c) & (lead[:, 0] >= x))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(interval), pa.array(lead.tolist(), pa.list_(pa.float64()))], ["v", "node", "weight", "interval", "lead"])
 
     placed = staged(distinct.select("v", "node", "weight").mapInArrow(place, "v array<double>, node long, weight long, interval long, lead array<double>"), "intervals")
-    axis = range(axes.shape[1])
+    axis = range(axes + 1)
     boxes = placed.groupBy("interval").agg(F.array(*(F.min(F.col("lead")[i]) for i in axis)).alias("lo"), F.array(*(F.max(F.col("lead")[i]) for i in axis)).alias("hi")).collect()  # INTERVALS rows at most
-    meets: dict[int, list[int]] = {r.interval: [] for r in boxes}
-    box = {r.interval: (np.array(r.lo), np.array(r.hi)) for r in boxes}
-    for i in sorted(box):
-        for j in sorted(box):
-            if i <= j and (i == j or not _far(*box[i], *box[j], epsilon)):
-                meets[i].append(i * INTERVALS + j)
-                if i != j:
-                    meets[j].append(i * INTERVALS + j)
-    pairs = spark.createDataFrame([(i, p) for i, ps in meets.items() for p in ps], "interval long, pair long")
+    numbers = np.array([r.interval for r in boxes], np.int64)
+    low, high = (np.array([r[side] for r in boxes]).reshape(len(boxes), axes + 1) for side in ("lo", "hi"))
+    shipped, slack = spark.sparkContext.broadcast((frame, numbers, low, high)), _slack(epsilon)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector to its own interval's task, and to those with intervals whose box it lies within epsilon of."""
+        _, numbers, low, high = shipped.value
+        for batch in batches:
+            lead = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, axes + 1)
+            own = batch.column(3).to_numpy()
+            for k, n in enumerate(numbers.tolist()):
+                at = np.flatnonzero(_gap(lead, lead, low[k], high[k]) <= slack)
+                if len(at):
+                    pair = np.minimum(own[at], n) * INTERVALS + np.maximum(own[at], n)
+                    part = batch.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(pair)], ["v", "node", "weight", "interval", "pair"])
 
     def join(got: pa.Table) -> pa.Table:
         key = got["pair"][0].as_py()
         raw = _raw(got["v"].combine_chunks(), dim)
         units = _units(raw)
-        lead = units @ axes
-        run = _Join(raw, units, lead, got["weight"].to_numpy(), cosine)
-        order = np.lexsort((lead[:, 0], cells(lead, epsilon)))
+        frame = shipped.value[0]
+        lead = frame.lead(units, axes)
+        run = _Join(raw, units, lead, frame.lead(units, min(BOUND_AXES, dim)), got["weight"].to_numpy(), cosine)
+        order = np.lexsort((lead[:, 0], cells(lead[:, :-1], epsilon)))
         side = got["interval"].to_numpy()[order]
         a, b = order[side == key // INTERVALS], order[side == key % INTERVALS]
         run.run(a, b, key // INTERVALS == key % INTERVALS)
@@ -184,5 +228,5 @@ def _links(distinct: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
             }
         )
 
-    met = placed.select("v", "node", "weight", "interval").join(F.broadcast(pairs), "interval")
+    met = placed.mapInArrow(send, "v array<double>, node long, weight long, interval long, pair long")
     return met.groupBy("pair").applyInArrow(lambda t: join(t), "node long, links long, a long, b long")
