@@ -32,8 +32,11 @@ from quillrake.llm.components import components
 LEAVES, SAMPLE, LEAF = 16_384, 16, 6_000
 #: Sides of a block that is compared without further splits.
 BLOCK = 512
-#: Bytes of sets that one task checks; groups beyond are checked by pairs of blocks of so many bytes.
-GROUP_BYTES = 16_000_000
+#: Bytes of texts of a group that one task checks alone, blocks that a larger group is dealt into while they hold no more
+#: than BLOCK_BYTES each.
+GROUP_BYTES, GROUP_BLOCKS, BLOCK_BYTES = 256_000, 16, 16_000_000
+#: Bits of the map that tells rows apart which surely are not asked for: 8 MB, whatever the table.
+MAP_BITS = 1 << 26
 #: 64-bit words of a set's fingerprint, and the radius at which 99.8 of 100 pairs of a Jaccard coefficient of 0.8 link
 #: (they differ in 29.1 of 192 bits on average, with a deviation of 5.0; unlike sets in 96, with one of 6.9).
 SET_WORDS, SET_BITS = 3, 44
@@ -431,14 +434,15 @@ class Check:
 def _checked(members: DataFrame, size: int, least: Fraction) -> DataFrame:
     """(a, b): a forest of the keys that pairs of at least this coefficient join, both in one group.
 
-    members: (group, key, text), each key once. Small groups share tasks; a large one is dealt into blocks that meet in
+    members: (group, key, text), each key once. Small groups share tasks; a larger one is dealt into blocks that meet in
     pairs, so no task holds more than two blocks.
     """
     spark, bits = members.sparkSession, SET_BITS
     members = members.withColumn("bytes", F.octet_length("text"))
     total = members.agg(F.sum("bytes")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
-    blocks = members.groupBy("group").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).alias("blocks"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
+    size_of = F.sum("bytes")
+    blocks = members.groupBy("group").agg(F.greatest(F.ceil(size_of / BLOCK_BYTES), F.least(F.lit(GROUP_BLOCKS), F.ceil(size_of / GROUP_BYTES))).cast("long").alias("blocks"))
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(0)
     partner = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.lit(0).cast("long"))))
     placed = members.join(blocks, "group").withColumn("block", block.cast("long")).withColumn("partner", partner)
@@ -464,6 +468,22 @@ def _checked(members: DataFrame, size: int, least: Fraction) -> DataFrame:
     return placed.select(task.alias("task"), "group", "key", "block", "text").groupBy("task").applyInArrow(lambda t: check(t), "a long, b long")
 
 
+def _marked(hashes: DataFrame) -> DataFrame:
+    """A bitmap of hashes in pieces (place, bits): MAP_BITS bits at most in all."""
+    at = F.pmod("hash", F.lit(MAP_BITS)) + 1
+    return hashes.groupBy(F.bitmap_bucket_number(at).alias("place")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def _split(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may be marked, rows whose hash is not): no row moves."""
+    at = F.pmod("hash", F.lit(MAP_BITS)) + 1
+    joined = rows.withColumn("place", F.bitmap_bucket_number(at)).join(F.broadcast(marks), "place", "left")  # MAP_BITS bits at most
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
+    return joined.where(on).select(*rows.columns), joined.where(~on).select(*rows.columns)
+
+
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: str = "0.8") -> DataFrame:
     """One row of each group that links of at least this Jaccard coefficient of sets of shingles join, with docs' columns.
 
@@ -480,13 +500,21 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     named = docs.select(F.struct(*columns).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(*columns).alias("hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
     prints = staged(_row_prints(named, size), "prints")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best")
-    distinct = staged(prints.groupBy("key", "size", *(f"f{w}" for w in range(SET_WORDS))).agg(best).withColumnRenamed("key", "node"), "distinct")
+    words = [f"f{w}" for w in range(SET_WORDS)]
+    distinct = staged(prints.groupBy("key", "size", *words).agg(best, F.count("*").alias("rows")).withColumnRenamed("key", "node"), "distinct")
     groups = components(staged(forest(distinct, SET_WORDS, SET_BITS, float(Fraction(least))), "near"))
     asked = staged(distinct.join(groups, "node").select("node", F.col("component").alias("group"), "best.id", "best.hash"), "asked")
-    again = named.select("id", "hash", "text").alias("r").join(asked.alias("a"), F.col("r.id").eqNullSafe(F.col("a.id")) & (F.col("r.hash") == F.col("a.hash")))
+    texts, _ = _split(named.select("id", "hash", "text"), _marked(asked))
+    again = texts.alias("r").join(asked.alias("a"), (F.col("r.hash") == F.col("a.hash")) & F.col("r.id").eqNullSafe(F.col("a.id")))
     members = again.groupBy(F.col("a.node").alias("key"), "group").agg(F.first("text").alias("text"))
     same = components(staged(_checked(staged(members, "members"), size, Fraction(least)), "links"))
-    winners = distinct.join(same, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best")).select("best.id", "best.hash")
-    # losers are few and winners many, yet a row of a key that its group's winner has not may be either: rows ask winners
-    found = named.alias("r").join(winners.alias("w"), F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.hash") == F.col("w.hash")), "left_semi")
-    return found.dropDuplicates(["id", "hash"]).select("row.*")
+    # rows that are alone with their set, which links to no other, stay where they are; the others ask who won
+    told = staged(distinct.join(same, "node", "left").select("node", "size", *words, "rows", "best", "component"), "told")
+    doubtful = told.where("rows > 1 or component is not null")
+    winners = doubtful.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best")).select("best.hash")
+    keys = ["key", "size", *words]
+    suspects = prints.join(doubtful.withColumnRenamed("node", "key").select(*keys), keys, "left_semi").select("hash")
+    asking, alone = _split(named.drop("text"), staged(_marked(suspects), "suspects"))
+    sure = told.where("rows = 1 and component is null").select("best.hash")
+    stays = asking.join(winners.unionByName(sure), "hash", "left_semi").dropDuplicates(["hash", "id"])
+    return alone.unionByName(stays).select("row.*")
