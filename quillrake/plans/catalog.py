@@ -127,7 +127,16 @@ def clean_text(spark, sf_dir):
     return docs(spark, sf_dir).withColumn("text", norm.clean(F.col("text")))
 
 
-@query()
+def _sql_affix(word: str, affixes, starts: bool) -> str:
+    """The word without its longest affix, while two characters stay."""
+    tests = [f"WHEN {'starts_with' if starts else 'suffix'}({word}, {sq(a)}) AND len({word}) >= {len(a) + 2} THEN " + (f"substr({word}, {len(a) + 1})" if starts else f"substr({word}, 1, len({word}) - {len(a)})") for a in sorted(sorted(affixes, key=len), key=len, reverse=True)]
+    return f"CASE {' '.join(tests)} ELSE {word} END"
+
+
+@query(
+    rf"""SELECT doc_id, CASE WHEN {sql_strip('text')} = '' THEN '' ELSE array_to_string(list_transform(list_transform(regexp_split_to_array({sql_strip('text')}, '\s+'), lambda w: {{'w': w, 'p': {_sql_affix('w', norm.PREFIXES, True)}}}),
+  lambda x: CASE WHEN len(x.w) < 4 THEN x.w ELSE {_sql_affix('x.p', norm.SUFFIXES, False)} END), ' ') END AS text FROM documents"""
+)
 def light_stem(spark, sf_dir):
     return docs(spark, sf_dir).withColumn("text", norm.light_stem(F.col("text")))
 
@@ -221,7 +230,8 @@ def html_blocks(spark, sf_dir):
 
 @query(rf"SELECT page_id, {sql_strip(rf'''regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')''')} AS raw_text FROM pages")
 def html_strip_fallback(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", norm.strip(F.regexp_replace(F.regexp_replace("html", "<[^>]+>", " "), r"\s+", " ")).alias("raw_text"))
+    stripped = F.pandas_udf(lambda pages: pages.map(lambda h: markup.html_fallback(h)[0]["raw_text"]), "string")
+    return table(spark, sf_dir, "pages").select("page_id", stripped("html").alias("raw_text"))
 
 
 @query()
@@ -287,7 +297,7 @@ def token_split(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.explode(tx.split_by_tokens(F.col("text"), 120, 20)).alias("part"))
 
 
-@query()
+@query(rf"SELECT doc_id, CASE WHEN {TOKEN_SQL} <= 50 THEN text ELSE rtrim(regexp_extract(text, {sq(rf'(?s)\A\s*(?:(?:{tx.TOKEN})\s*){{50}}')}), ' ') || '...' END AS text FROM documents")
 def token_truncate(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.truncate(F.col("text"), 50).alias("text"))
 
@@ -298,6 +308,62 @@ def hierarchy_depth(spark, sf_dir):
     return chunks.totals(blocks, Settings()).select("document_id", "total_tokens", "hierarchy_depth")
 
 
+def sql_sentences(x: str) -> str:
+    return rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace({x}, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '([.!?])\s*\n', '\1' || chr(1), 'g'), chr(1)), lambda x: {sql_strip('x')}), lambda x: x <> '')"
+
+
+def _sql_greedy(parts: str, glue: str, most: str, shown: str) -> str:
+    """Parts joined by glue while the sum of lengths, glue included, stays within most; shown: a part p as it is joined."""
+    blank, cost = "[]::VARCHAR[]", f"len(e.x) + {len(glue)}"
+    first = f"{{'done': {blank}, 'now': {blank}, 'size': 0::BIGINT, 'x': ''}}"
+    rest = f"list_transform({parts}, lambda p: {{'done': {blank}, 'now': {blank}, 'size': 0::BIGINT, 'x': p}})"
+    part = shown.replace("p", "e.x")
+    step = f"CASE WHEN len(a.now) > 0 AND a.size + {cost} > {most} THEN {{'done': list_append(a.done, array_to_string(a.now, {sq(glue)})), 'now': [{part}], 'size': {cost}, 'x': ''}} ELSE {{'done': a.done, 'now': list_append(a.now, {part}), 'size': a.size + {cost}, 'x': ''}} END"
+    return f"list_transform([list_reduce([{first}] || {rest}, lambda a, e: {step})], lambda r: CASE WHEN len(r.now) > 0 THEN list_append(r.done, array_to_string(r.now, {sq(glue)})) ELSE r.done END)[1]"
+
+
+def sql_packed(text: str, target: int, overlap: str, least: int, most: str) -> str:
+    """The chunks of a text: whole sentences up to the target, with overlap; longer ones cut by characters."""
+    kind, blank = "STRUCT(s VARCHAR, n BIGINT)[]", "[]::VARCHAR[]"
+    clauses, words = r"regexp_split_to_array(b.s, '[,;:\x{060C}\x{061B}]\s*')", r"list_filter(regexp_split_to_array(b.s, '\s+'), lambda w: w <> '')"
+    long = f"CASE WHEN len({clauses}) > 1 THEN {_sql_greedy(clauses, ', ', most, 'trim(p)')} ELSE {_sql_greedy(words, ' ', most, 'p')} END"
+    total = lambda now: f"coalesce(list_sum(list_transform({now}, lambda y: y.n)), 0)"
+    joined = lambda now: f"array_to_string(list_transform({now}, lambda y: y.s), ' ')"
+    own = "[{'s': b.s, 'n': b.n}]"
+    kept = f"list_filter(c.now, lambda y, i: list_sum(list_transform(c.now[i:], lambda z: z.n)) <= {overlap})"
+    step = f"""CASE WHEN b.n > {target} THEN {{'done': c.done || CASE WHEN len(c.now) > 0 THEN [{joined('c.now')}] ELSE {blank} END || {long}, 'now': []::{kind}, 's': '', 'n': 0::BIGINT}}
+WHEN len(c.now) > 0 AND {total('c.now')} + b.n > {target} THEN {{'done': list_append(c.done, {joined('c.now')}), 'now': {kept} || {own}, 's': '', 'n': 0::BIGINT}}
+ELSE {{'done': c.done, 'now': c.now || {own}, 's': '', 'n': 0::BIGINT}} END"""
+    first = f"{{'done': {blank}, 'now': []::{kind}, 's': '', 'n': 0::BIGINT}}"
+    items = f"list_transform({sql_sentences(text)}, lambda q: {{'done': {blank}, 'now': []::{kind}, 's': q, 'n': {sql_count('q', tx.TOKEN)}::BIGINT}})"
+    end = f"CASE WHEN len(r.now) = 0 THEN r.done WHEN len(r.done) > 0 AND {total('r.now')} < {least} THEN list_append(r.done[:-2], r.done[-1] || ' ' || {joined('r.now')}) ELSE list_append(r.done, {joined('r.now')}) END"
+    return f"list_transform([list_reduce([{first}] || {items}, lambda c, b: {step})], lambda r: {end})[1]"
+
+
+def sql_id(prefix: str, *parts: str) -> str:
+    h = "sha256(" + " || chr(31) || ".join(f"{p}::VARCHAR" for p in parts) + ")"
+    return f"'{prefix}-' || " + " || '-' || ".join(f"substr({h}, {i}, {n})" for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+
+
+#: Blocks of sources; those of sources with 1,500 tokens and more are packed greedily up to 512 tokens.
+PACKED_SQL = f"""WITH RECURSIVE source AS (SELECT source AS document_id, doc_id::INT AS block_idx, text FROM documents), {SQL_TAGGED},
+b AS (SELECT document_id, block_idx, text, language, {TOKEN_SQL} AS tokens, row_number() OVER (PARTITION BY document_id ORDER BY block_idx) AS i FROM said),
+m AS (SELECT *, sum(tokens) OVER (PARTITION BY document_id) >= 1500 AS parent FROM b),
+r AS (SELECT document_id, i, 0 AS part, tokens AS size FROM m WHERE i = 1 AND parent UNION ALL
+  SELECT m.document_id, m.i, CASE WHEN r.size + m.tokens > 512 THEN r.part + 1 ELSE r.part END, CASE WHEN r.size + m.tokens > 512 THEN m.tokens ELSE r.size + m.tokens END FROM r JOIN m ON m.document_id = r.document_id AND m.i = r.i + 1),
+parents AS (SELECT document_id, part AS parent_idx, sum(tokens)::INT AS token_count, count(*) AS block_count,
+  CASE WHEN count(*) FILTER (language = 'mixed') > 0 THEN 'mixed' WHEN count(*) FILTER (language = 'ar') > count(*) FILTER (language = 'en') THEN 'ar' WHEN count(*) FILTER (language = 'en') > count(*) FILTER (language = 'ar') THEN 'en' ELSE 'mixed' END AS language,
+  string_agg(text, chr(10) || chr(10) ORDER BY block_idx) AS text FROM r JOIN m USING (document_id, i) GROUP BY document_id, part)"""
+CHILD_SQL = f"""{PACKED_SQL},
+texts AS (SELECT document_id, block_idx AS seq, NULL::VARCHAR AS parent_id, text, tokens, language FROM m WHERE NOT parent AND trim(text) <> ''
+  UNION ALL SELECT document_id, parent_idx, {sql_id("parent", "document_id", "0", "parent_idx")}, text, token_count, language FROM parents),
+cut AS (SELECT document_id, seq, parent_id, language, CASE WHEN tokens <= 128 THEN [text] ELSE {sql_packed("text", 128, "CASE WHEN language = 'ar' THEN 60 ELSE 50 END", 80, "CASE WHEN language = 'en' THEN 512 ELSE 320 END")} END AS chunks FROM texts),
+one AS (SELECT document_id, seq, parent_id, language, unnest(chunks) AS text, generate_subscripts(chunks, 1) - 1 AS position FROM cut),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY seq, position) - 1)::INT AS chunk_idx FROM one),
+named AS (SELECT *, {sql_id("chunk", "document_id", "chunk_idx")} AS chunk_id, {TOKEN_SQL}::INT AS token_count FROM numbered),
+children AS (SELECT chunk_id, document_id, chunk_idx, text, token_count, language, 'paragraph' AS block_type, parent_id, position::INT AS position_in_parent, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM named WINDOW w AS (PARTITION BY document_id ORDER BY chunk_idx))"""
+
+
 @query(
     rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '([.!?])\s*\n', '\1' || chr(1), 'g'), chr(1)), lambda x: {sql_strip("x")}), lambda x: x <> '') AS ss FROM documents)
 SELECT doc_id, len(ss)::INT AS n_sentences, ss[1] AS first, ss[-1] AS last FROM s"""
@@ -311,22 +377,50 @@ def _placed(spark, sf_dir) -> DataFrame:
     return structure.sections_of(lang.tag(d))
 
 
-@query()
+@query(f"{PACKED_SQL} SELECT * FROM parents")
 def parent_packing(spark, sf_dir):
     return chunks.parents(_placed(spark, sf_dir)).select("document_id", "parent_idx", "token_count", "block_count", "language", "text")
 
 
-@query()
+@query(f"{CHILD_SQL} SELECT * FROM children")
 def child_chunks(spark, sf_dir):
     placed = _placed(spark, sf_dir)
-    return chunks.children(placed, chunks.parents(placed))
+    return chunks.children(placed, chunks.parents(placed)).drop("section_path", "page_number")
 
 
-@query()
+@query(f"{CHILD_SQL} SELECT document_id, count(*) AS n_children, round(avg(token_count), 1) AS avg_tokens, 0::BIGINT AS n_atomic FROM children GROUP BY 1")
 def chunking_stats(spark, sf_dir):
     return chunks.chunking_stats(child_chunks(spark, sf_dir))
 
 
+@query(f"{CHILD_SQL} SELECT parent_id, string_agg(chunk_id, ' ' ORDER BY position_in_parent) AS child_ids FROM children WHERE parent_id IS NOT NULL GROUP BY 1")
+def child_ids(spark, sf_dir):
+    return chunks.child_ids(child_chunks(spark, sf_dir)).select("parent_id", F.array_join("child_ids", " ").alias("child_ids"))
+
+
+@query(f"WITH c AS (SELECT user_id AS document_id, event_type AS block_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL) SELECT document_id, block_type FROM c QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, first) = 1")
+def dominant_type(spark, sf_dir):
+    made = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("block_idx"), F.col("event_type").alias("block_type"))
+    return chunks.dominant_type(made)
+
+
+@query(f"SELECT doc_id, len(text)::INT AS characters, {TOKEN_SQL}::INT AS tokens, CASE WHEN {TOKEN_SQL} > 0 THEN round(len(text) / {TOKEN_SQL}, 2) ELSE 0.0 END AS characters_per_token FROM documents")
+def token_info(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tx.token_info(F.col("text")).alias("x")).select("doc_id", "x.*")
+
+
+@query(f"SELECT doc_id, doc_id % 2 = 0 AS atomic, doc_id % 2 = 0 AND {TOKEN_SQL} > 300 AS split_anyway FROM documents")
+def atomic_marks(spark, sf_dir):
+    made = docs(spark, sf_dir).select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "table").otherwise("paragraph").alias("block_type"))
+    return chunks.mark_atomic(made, Settings(force_split_atomic=True, max_atomic_tokens=300)).select("doc_id", "atomic", "split_anyway")
+
+
+@query("SELECT conv_id * 1000 + turn AS chunk_id, 'talk|' || role AS section_path FROM conversations")
+def payload_codec(spark, sf_dir):
+    made = _turns(spark, sf_dir).select("chunk_id", F.array(F.lit("talk"), F.col("role")).alias("section_path"))
+    return store.payload(store.from_payload(store.payload(made)))
+
+
 def _turns(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_idx"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "text", "role")
 
@@ -536,7 +630,8 @@ def cascade_delete(spark, sf_dir):
 
 @query("SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0")
 def load_by_status(spark, sf_dir):
-    return table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
+    told = table(spark, sf_dir, "labels").withColumn("status", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "completed").otherwise("failed"))
+    return store.by_status(told, "completed").select("doc_id")
 
 
 @query("SELECT count(*) AS total_documents, count(*) FILTER (quality = 1) AS completed_documents, count(*) FILTER (quality = 0) AS failed_documents, 0::BIGINT AS pending_documents, sum(quality)::BIGINT AS total_parent_count, sum(toxic)::BIGINT AS total_child_count, count(*) AS total_edge_count FROM labels")
@@ -620,7 +715,7 @@ def embedding_stats(spark, sf_dir):
     return embed.embedding_stats(docs(spark, sf_dir).select(F.when(F.col("doc_id") % 10 != 0, F.array(F.lit(1.0))).alias("embedding")))
 
 
-@query()
+@query(f"SELECT doc_id, c AS text, {sql_count('c', tx.TOKEN)}::INT AS token_count FROM (SELECT doc_id, unnest({sql_packed('text', 24, '8', 5, '96')}) AS c FROM documents)")
 def long_sentence_split(spark, sf_dir):
     whole = docs(spark, sf_dir).withColumn("language", F.lit("en"))
     return whole.select("doc_id", F.explode(chunks.packer(Settings(target_tokens=24, min_tokens=5, overlap_tokens=8))("text", "language")).alias("c")).select("doc_id", "c.*")
