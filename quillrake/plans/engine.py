@@ -61,7 +61,7 @@ class Engine:
         vectors = embed.embed(children.select("chunk_id", "document_id", "chunk_idx", "language", "block_type", "text"), self.embedder, self.settings.embedding_batch).where("embedding is not null").persist()
         edges = graph.as_edges(graph.semantic_edges(vectors, self.settings.similarity_threshold)).persist()
         rules = {"parents": checks.parents(parents), "children": checks.children(children), "edges": checks.edges(edges)}
-        documents = self._documents(admitted, raw, blocks, parents, children, edges, metadata, rules)
+        documents = self._documents(admitted, raw, blocks, parents, children, edges, metadata, rules).persist()
         fine = {name: df.where(F.size("violations") == 0).drop("violations") for name, df in rules.items()}
         held = fine["parents"].join(chunks.child_ids(fine["children"]), "parent_id", "left")
         tables = {"edges": fine["edges"], "vectors": vectors, "children": fine["children"], "parents": held, "documents": documents}
@@ -70,12 +70,13 @@ class Engine:
                 with run.stage(name):
                     run.count(name, df.count())  # fills what the commits then read
             with run.stage("commit"):
+                owners = admitted.select("document_id")
                 if replaces is None:
-                    self.store.commit(tables)
+                    self.store.commit(tables, owners)
                 else:
-                    self.store.replace_documents(tables, replaces)
+                    self.store.replace_documents(tables, replaces, owners)
         finally:
-            for df in (edges, vectors, children, parents, blocks, raw, admitted):
+            for df in (documents, edges, vectors, children, parents, blocks, raw, admitted):
                 df.unpersist()
         return self.store.read("documents")
 

@@ -43,7 +43,10 @@ def scan(spark: SparkSession, path: str | list[str], recursive: bool = False, se
         if where:
             most, found = settings.max_file_size_mb * 1024 * 1024, read(options).load(where)
             told = [F.col("path").alias("file_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")]
-            parts += [found.where(F.col("length") <= most).select(*told, "content"), found.where(F.col("length") > most).select(*told, F.lit(None).cast("binary").alias("content"))]
+            parts.append(found.where(F.col("length") <= most).select(*told, "content"))
+            large = found.where(F.col("length") > most).select(*told, F.lit(None).cast("binary").alias("content"))
+            if not large.isEmpty():  # a listing: no content is read
+                parts.append(large)
     return reduce(DataFrame.unionByName, parts)
 
 

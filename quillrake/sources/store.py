@@ -139,29 +139,31 @@ class Store:
         """Replaces the whole table."""
         self._rewrite(table, lambda old: df)
 
-    def upsert(self, table: str, df: DataFrame) -> None:
-        """Adds rows, in place of those with their keys; only the buckets of their documents are written again."""
+    def upsert(self, table: str, df: DataFrame, owners: DataFrame | None = None) -> None:
+        """Adds rows, in place of those with their keys; only the buckets of their documents are written again.
+
+        owners: the documents of the rows (document_id), or more, where they are cheaper to have than the rows.
+        """
         if "updated_at" in self.tables[table]:
             df = df.withColumn("updated_at", F.current_timestamp())
         if table == "vectors" and self.dimension:
             bad = df.where(F.col("embedding").isNull() | (F.size("embedding") != self.dimension)).select("chunk_id").take(5)
             if bad:
                 raise ValueError(f"vectors of {self.dimension} components are needed: {', '.join(r.chunk_id for r in bad)}")
-        self._rewrite(table, lambda old: upserted(old, df, self.keys[table]), df)
+        self._rewrite(table, lambda old: upserted(old, df, self.keys[table]), df if owners is None else owners)
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
+    def commit(self, tables: dict[str, DataFrame], owners: DataFrame | None = None) -> None:
         for name in ("edges", "vectors", "children", "parents", "documents"):  # a document is there once the rest is
             if name in tables:
-                self.upsert(name, tables[name])
+                self.upsert(name, tables[name], owners)
 
-    def replace_documents(self, tables: dict[str, DataFrame], documents: DataFrame) -> None:
+    def replace_documents(self, tables: dict[str, DataFrame], documents: DataFrame, owners: DataFrame) -> None:
         """commit() that also removes all other rows of these documents (document_id): for documents made anew."""
         for name in ("edges", "vectors", "children", "parents", "documents"):
             new, gone = tables[name], documents.select("document_id").distinct()
             if "updated_at" in self.tables[name]:
                 new = new.withColumn("updated_at", F.current_timestamp())
-            owners = gone.unionByName(new.select("document_id"))
-            self._rewrite(name, lambda old, new=new, gone=gone, name=name: upserted(old.join(gone, "document_id", "left_anti").select(*old.columns), new, self.keys[name]), owners)
+            self._rewrite(name, lambda old, new=new, gone=gone, name=name: upserted(old.join(gone, "document_id", "left_anti").select(*old.columns), new, self.keys[name]), gone.unionByName(owners))
 
     def load(self, table: str, **where) -> DataFrame:
         """Rows whose columns equal the given values, or are among them for a list; one document's lie in one bucket."""
