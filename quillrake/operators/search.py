@@ -1,20 +1,24 @@
 """Vector, keyword and hybrid search over stored vectors, for one query or a table of them.
 
-Queries are few and bounded by the caller, so they are a literal or are broadcast after their number is checked; the
+Queries are few and bounded by the caller, so they are a literal or go to the tasks in blocks of bounded size; the
 vectors are scanned once, each partition keeps its own k best, and only those are exchanged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrake.functions.text import keyword_score, keywords
 from quillrake.operators.graph import cosine
 
-#: Rows of a query table up to which it is broadcast; larger ones go through in slices of that many.
+#: Queries that go to the tasks at once; larger tables go through in blocks of about that many.
 QUERIES = 1_000
 
 
@@ -36,19 +40,67 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, where: dict | None
 def top_k_many(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk: str = "chunk_id", vector: str = "embedding", query: str = "query_id", skip_self: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank) of each query's k best; queries: query_id and embedding.
 
-    A stated query set against all vectors: queries are broadcast in blocks, and each map task keeps k rows a query.
+    A stated query set against all vectors: blocks of QUERIES unit vectors at most go to the tasks, which multiply them
+    with a batch of vectors at a time and keep k rows a query. Empty, zero and unequally long vectors score 0.
     """
-    asked = queries.select(F.col(query).alias("query_id"), F.col(vector).alias("__q"))
+    asked = queries.select(F.col(query).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
     n = asked.count()
     parts = [asked] if n <= QUERIES else asked.randomSplit([1.0] * -(-n // QUERIES), seed=1)
-    held = vectors.select(F.col(chunk).alias("chunk_id"), F.col(vector).alias("__v"))
-    found = []
-    for part in parts:
-        on = F.col("query_id") != F.col("chunk_id") if skip_self else F.lit(True)
-        found.append(held.join(F.broadcast(part), on).select("query_id", "chunk_id", cosine(F.col("__v"), F.col("__q")).alias("score")))
-    scored = reduce(DataFrame.unionByName, found)
+    held = vectors.select(F.col(chunk).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, chunk_id {dict(held.dtypes)['chunk_id']}, score double"
+    found = [held.mapInArrow(_block_search(part.toArrow(), k, skip_self), schema) for part in parts]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _units(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of unit vectors of one length; zeros for null, zero and other ones."""
+    out = np.zeros((len(column), dim))
+    right = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
+    if dim and len(right):
+        rows = column.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        out[right] = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+    return out
+
+
+def _block_search(queries: pa.Table, k: int, skip_self: bool):
+    """A function of batches (chunk_id, v): the k best of each partition for each query."""
+    ids, vectors = queries["query_id"].combine_chunks(), queries["v"].combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    blocks = [(np.flatnonzero(lengths == d), _units(vectors, d)[lengths == d]) for d in np.unique(lengths).tolist()]
+    same: dict = {}
+    for i, x in enumerate(ids.to_pylist()):
+        same.setdefault(x, []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            score = np.zeros((len(ids), batch.num_rows))
+            for at, units in blocks:
+                if units.shape[1]:
+                    score[at] = units @ _units(batch.column(1), units.shape[1]).T
+            if skip_self:
+                for i, x in enumerate(batch.column(0).to_pylist()):
+                    for q in same.get(x, ()):
+                        score[q, i] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, -k, None] if batch.num_rows > k else -np.inf
+            q, i = np.nonzero((score >= least) & (score > -np.inf))
+            new = pa.table({"q": pa.array(q), "chunk_id": batch.column(0).take(pa.array(i)), "score": pa.array(score[q, i])})
+            best = _kept(new if best is None else pa.concat_tables([best, new]), k)
+        if best is not None:
+            yield from pa.table({"query_id": ids.take(best["q"].combine_chunks()), "chunk_id": best["chunk_id"], "score": best["score"]}).to_batches()
+
+    return run
+
+
+def _kept(rows: pa.Table, k: int) -> pa.Table:
+    """The k rows of each query of the largest score, equals by id."""
+    rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")]))
+    q = rows["q"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return rows.filter(pa.array(place < k))
 
 
 def similar_chunks(vectors: DataFrame, chunk_id, k: int = 5, same_document: bool = True, chunk: str = "chunk_id", vector: str = "embedding", key: str = "document_id") -> DataFrame:

@@ -2,13 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillrake.config import Settings
 from quillrake.functions import language, normalize
 from quillrake.functions import text as tx
-from quillrake.operators import checks, chunks, context, embed, formats, graph, markup, plain_text, structure
+from quillrake.operators import checks, chunks, context, embed, formats, graph, markup, plain_text, search, structure
 from quillrake.sources import store
 from quillrake.streaming import ingest
 
@@ -195,3 +196,26 @@ def test_stream(spark, tmp_path):
     taker.spark = spark
     ingest.ingest_stream(taker, str(source), str(tmp_path / "checkpoint")).awaitTermination(120)
     assert len(seen) == 2 and "b.txt" in seen
+
+
+def test_many_queries_at_once(spark):
+    """Blocks against brute force: ties by id, zero, null, short and repeated vectors, queries of two lengths."""
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i:03d}", rng.normal(size=6).tolist()) for i in range(200)]
+    rows += [("c900", rows[3][1]), ("c901", rows[3][1]), ("z", [0.0] * 6), ("n", None), ("s", [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<double>").repartition(5)
+    asked = [("c003", rows[3][1]), ("q", rows[7][1]), ("q2", rows[7][1]), ("two", [1.0, 2.1])]
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+
+    def cosine(x, y):
+        if not x or not y or len(x) != len(y) or not any(x) or not any(y):
+            return 0.0
+        x, y = np.array(x), np.array(y)
+        return float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y))
+
+    got = sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in search.top_k_many(vectors, queries, 4, skip_self=True).collect())
+    want = []
+    for q, v in asked:
+        best = sorted(((-round(cosine(v, x), 9), c) for c, x in rows if c != q))[:4]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    assert [(a, b, c) for a, b, c, _ in got] == [(a, b, c) for a, b, c, _ in sorted(want)] and all(abs(x[3] - y[3]) < 1e-8 for x, y in zip(got, sorted(want)))
